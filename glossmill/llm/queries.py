@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import chunking, format_dups, lookalike
+from . import chunking, format_dups, lookalike, mixing, overlap, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_pieces": lambda s, d: chunking.split_oversized(keeper(s, d), table(s, d, "size_limits")),
         "p4_found": lambda s, d: format_dups.found(keeper(s, d)),
         "p4_collapsed": lambda s, d: format_dups.collapsed(keeper(s, d)),
+        "p5_found": lambda s, d: overlap.found(table(s, d, "train"), table(s, d, "dev"), table(s, d, "test")),
+        "p5_report": lambda s, d: overlap.report(table(s, d, "train"), table(s, d, "dev"), table(s, d, "test")),
         "p6_found": lambda s, d: lookalike.found(keeper(s, d)),
         "p6_normalized": lambda s, d: lookalike.normalized(keeper(s, d)),
+        "p7_pack": lambda s, d: packing.assigned(table(s, d, "documents"), table(s, d, "pack_limits")),
+        "p7_report": lambda s, d: packing.report(table(s, d, "documents"), table(s, d, "pack_limits")),
+        "p8_mix": lambda s, d: mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_report": lambda s, d: mixing.report(table(s, d, "documents"), table(s, d, "mix_targets")),
     }
 
 
