@@ -92,10 +92,10 @@ def plan(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def _items(sizes: DataFrame, packs: DataFrame) -> DataFrame:
+def _items(sizes: DataFrame, packs: dict[str, int]) -> DataFrame:
     """Documents as items of each pack: whole, or cut every `capacity` tokens if they are larger."""
-    small = F.broadcast(packs.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).where("capacity > 0"))
-    rows = sizes.where("tokens > 0").crossJoin(small)  # one row of configuration a pack, never a join of data with data
+    each = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("long").alias("capacity")) for n, c in sorted(packs.items())])
+    rows = sizes.where("tokens > 0").select("doc_id", "tokens", F.explode(each).alias("p")).select("doc_id", "tokens", "p.*")
     parts = F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("capacity")).cast("int"))
     parted = rows.select("pack_name", "capacity", "doc_id", "tokens", F.explode(parts).alias("part_no"))
     start = F.col("part_no") * F.col("capacity")
@@ -108,9 +108,11 @@ def assigned(docs: DataFrame, packs: DataFrame) -> DataFrame:
     Only documents above the capacity have parts. Null and empty texts have no tokens and no container.
     """
     spark = docs.sparkSession
-    items = _items(sized(docs), packs)
+    capacity = {r["pack_name"]: int(r["capacity_tokens"]) for r in packs.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").collect()}
+    if not capacity:
+        return spark.createDataFrame([], "pack_name string, container_id long, doc_id long, part_no int, start_token long, size long")
+    items = _items(sized(docs), capacity)
     counts = items.groupBy("pack_name", "size").count().collect()  # at most the sum of the capacities
-    capacity = {r["pack_name"]: int(r["capacity_tokens"]) for r in packs.select("pack_name", "capacity_tokens").collect()}
     by: dict[str, dict[int, int]] = defaultdict(dict)
     for r in counts:
         by[r["pack_name"]][r["size"]] = r["count"]
