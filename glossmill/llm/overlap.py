@@ -1,19 +1,21 @@
 """Records of evaluation splits that also stand, exactly or nearly, in the training split.
 
-Distinct word sequences stand for all their rows. The suffixes of both sides (of at most SPAN words) are partitioned by
-their first GRAM words and sorted, which gives a partitioned suffix array. Where an evaluation suffix and training
-suffixes have a common prefix of the length that a near-duplicate must share, the span is reported; spans are merged
-into the coverage of each pair of records, and pairs with enough coverage get an exact word edit distance.
-
-Why no pair is lost: at most k = (words of the longer text) // 8 edits leave, of any cut of the evaluation text into
-k + 1 runs, one run untouched and moved by at most k words. Only the starts of such runs are looked up.
+Distinct word sequences stand for all their rows. Suffixes (of at most SPAN words) of both sides are partitioned by
+their first GRAM words and sorted, which gives a partitioned suffix array. Where a run of a training text and an
+evaluation suffix, neighbours in it, have a common prefix as long as the run, the span is shared; spans are merged into
+the coverage of each pair of records, and covered pairs get an exact word edit distance.
+
+Why no pair is lost: at most k = (words of the longer text) // 8 edits leave, of any cut of the training text into
+k + 1 runs, one run untouched and moved by at most k words. So runs stand for training texts, all suffixes for the
+(fewer) evaluation texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +28,14 @@ from .format_dups import folded
 LEAST_WORDS, ONE_IN = 6, 8
 #: Words by which suffixes are partitioned, and words a suffix keeps (no run that is looked up is longer).
 GRAM, SPAN = 4, 7
+#: Bits that stand for each further word of a suffix.
+BITS = 21
 #: Suffixes of one prefix and side that one task may hold; more are spread over several.
 HOT = 50_000
 
 
 def _runs(n: Column) -> Column:
-    """(start, length) of the runs of an evaluation text of n words to look up."""
+    """(start, length) of the runs of a training text of n words to look up; together they cover the text."""
     short = F.transform(F.sequence(F.lit(0), n - GRAM), lambda s: F.struct(s.alias("s"), F.lit(GRAM).alias("len")))
     k = F.floor(n / (ONE_IN - 1)).cast("int") + 1
     start = lambda i: F.floor(i * n / k).cast("int")
@@ -39,82 +43,114 @@ def _runs(n: Column) -> Column:
     return F.when(n < ONE_IN, short).otherwise(long)
 
 
-def keyed(rows: DataFrame, *extra: str) -> DataFrame:
-    """Rows of enough words with `rep`, the digest of their folded words (equal words, equal rep)."""
-    f = rows.select("sent_id", *extra, folded(F.col("text")).alias("folded"))
-    return f.where(F.size(F.split("folded", " ")) >= LEAST_WORDS).withColumn("rep", F.md5("folded"))
+def _rows(train: DataFrame, evals: DataFrame) -> DataFrame:
+    """(sent_id, side, folded, rep, part) of rows of enough words. rep: digest of the folded words; part: input partition."""
+    sided = train.select("sent_id", "text", F.lit(1).alias("side")).unionByName(evals.select("sent_id", "text", F.lit(2).alias("side")))
+    f = sided.select("sent_id", "side", folded(F.col("text")).alias("folded"), F.spark_partition_id().alias("part"))
+    return cut(f.where(F.size(F.split("folded", " ")) >= LEAST_WORDS).withColumn("rep", F.unhex(F.md5("folded"))), "overlap-rows")
 
 
-def _records(train: DataFrame, evals: DataFrame) -> DataFrame:
-    """One row for each distinct word sequence, with the sides it occurs on."""
-    sided = keyed(train).withColumn("side", F.lit(1)).unionByName(keyed(evals).withColumn("side", F.lit(2)))
-    reps = sided.groupBy("rep").agg(F.first("folded").alias("folded"), F.bit_or("side").alias("side"))
-    words = F.transform(F.split("folded", " "), lambda w: F.xxhash64(w))
-    return cut(reps.select("rep", "side", words.alias("w"), F.size(words).alias("n")), "overlap")
+def _records(rows: DataFrame) -> DataFrame:
+    """One row for each distinct word sequence: id, rep, folded, n, and the sides it occurs on (1 training, 2 evaluation, 3 both)."""
+    reps = rows.groupBy("folded").agg(F.bit_or("side").alias("side"))
+    return cut(reps.select(F.monotonically_increasing_id().alias("id"), F.unhex(F.md5("folded")).alias("rep"), "folded", F.size(F.split("folded", " ")).alias("n"), "side"), "overlap")
 
 
 def _suffixes(records: DataFrame) -> DataFrame:
-    suffix = lambda s: F.slice("w", s + 1, SPAN)
-    e = records.where("side >= 2").select("rep", "n", F.explode(_runs(F.col("n"))).alias("r"), "w")
-    e = e.select(F.xxhash64(F.slice("w", F.col("r.s") + 1, GRAM)).alias("g"), F.lit(True).alias("e"), "rep", "n", F.col("r.s").alias("at"), F.col("r.len").alias("len"), suffix(F.col("r.s")).alias("suffix"))
-    t = records.where("side in (1, 3)").select("rep", "n", F.explode(F.sequence(F.lit(0), F.col("n") - GRAM)).alias("s"), "w")
-    t = t.select(F.xxhash64(F.slice("w", F.col("s") + 1, GRAM)).alias("g"), F.lit(False).alias("e"), "rep", "n", F.col("s").alias("at"), F.lit(0).alias("len"), suffix(F.col("s")).alias("suffix"))
-    t = t.join(e.select("g").distinct(), "g", "left_semi")
-    # Prefixes with too many suffixes are spread over a grid: each training suffix goes to one row of it, each evaluation
-    # suffix to one column, so every pair meets in exactly one cell.
-    per = lambda x, name: x.groupBy("g").agg(F.ceil(F.count("*") / HOT).cast("int").alias(name))
-    hot = F.broadcast(per(t, "ts").join(per(e, "es"), "g").where("ts > 1 or es > 1"))  # at most suffixes / HOT rows a side
-    t, e = (x.join(hot, "g", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("ts", "es")}) for x in (t, e))
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    t = t.withColumn("row", own("ts")).withColumn("col", every("es"))
-    e = e.withColumn("col", own("es")).withColumn("row", every("ts"))
-    return t.unionByName(e).withColumn("share", F.col("row") * F.col("es") + F.col("col")).drop("ts", "es", "row", "col")
+    """Runs of training texts and all suffixes of evaluation texts: (g, share, x, e, id, n, at, len).
 
+    g hashes the first GRAM words; x holds BITS bits for each further word up to SPAN, so (g, x) is the suffix order and
+    a common prefix of x is a common prefix of the suffixes.
+    """
 
-_SPANS = pa.schema([("t", pa.string()), ("e", pa.string()), ("at", pa.int32()), ("len", pa.int32())])
+    def laid(rows: DataFrame, at: Column, length: Column, is_e: bool) -> DataFrame:
+        word = lambda i: F.when(F.col("n") > at + i, F.xxhash64(F.get(F.col("w"), at + i)).bitwiseAND((1 << BITS) - 1)).otherwise(F.lit(0).cast("long"))
+        x = F.lit(0).cast("long")
+        for i in range(GRAM, SPAN):
+            x = x.bitwiseOR(F.shiftleft(word(i), BITS * (SPAN - 1 - i)))
+        g = F.xxhash64(*[F.get(F.col("w"), at + i) for i in range(GRAM)])
+        return rows.select(g.alias("g"), x.alias("x"), F.lit(is_e).alias("e"), "id", F.col("n"), at.alias("at"), length.alias("len"))
+
+    w = F.split("folded", " ")
+    t = records.where("side in (1, 3)").select("id", "n", w.alias("w"), F.explode(_runs(F.col("n"))).alias("r"))
+    t = laid(t, F.col("r.s"), F.col("r.len"), False)
+    e = records.where("side >= 2").select("id", "n", w.alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - GRAM)).alias("s"))
+    e = laid(e, F.col("s"), F.lit(0), True)
+    # Prefixes with too many suffixes are spread over a grid: each training run goes to one row of it, each evaluation
+    # suffix to one column, so every pair meets in exactly one cell.
+    both = t.unionByName(e)
+    shares = lambda side: F.greatest(F.ceil(F.count_if(side) / HOT), F.lit(1)).cast("int")
+    sizes = both.groupBy("g").agg(shares(~F.col("e")).alias("ts"), shares(F.col("e")).alias("es"))
+    hot = F.broadcast(sizes.where("ts > 1 or es > 1"))  # at most suffixes / HOT rows
+    spread = both.join(hot, "g", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("ts", "es")})
+    own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spread = spread.withColumn("row", F.explode(F.when(F.col("e"), every("ts")).otherwise(own("ts"))))
+    spread = spread.withColumn("col", F.explode(F.when(F.col("e"), own("es")).otherwise(every("es"))))
+    return spread.select("g", (F.col("row") * F.col("es") + F.col("col")).alias("share"), "x", "e", "id", "n", "at", "len")
+
+
+_SPANS = pa.schema([("t", pa.int64()), ("e", pa.int64()), ("len", pa.int32())])
+_COLUMNS = ("g", "share", "x", "e", "id", "n", "at", "len")
+
+
+def _spans(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Shared spans within suffixes in order: blocks of neighbours with a common prefix of the length of a run."""
+    e, t = c["e"], ~c["e"]
+    for m in np.unique(c["len"][t]):
+        prefix = c["x"] >> (BITS * (SPAN - m)) if m > GRAM else np.zeros_like(c["x"])
+        new = np.ones(len(e), bool)
+        new[1:] = (c["g"][1:] != c["g"][:-1]) | (c["share"][1:] != c["share"][:-1]) | (prefix[1:] != prefix[:-1])
+        block = np.cumsum(new)
+        runs, suffixes = np.flatnonzero(t & (c["len"] == m)), np.flatnonzero(e)
+        of = block[suffixes]
+        lo, hi = np.searchsorted(of, block[runs]), np.searchsorted(of, block[runs], "right")
+        runs, lo, n = runs[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        ends = np.cumsum(n)
+        for a, b in _chunks(ends, 1_000_000):
+            k = n[a:b]
+            i = np.repeat(runs[a:b], k)
+            j = suffixes[np.repeat(lo[a:b], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+            allowed = np.maximum(c["n"][i], c["n"][j]) // ONE_IN
+            ok = (np.abs(c["n"][i] - c["n"][j]) <= allowed) & (np.abs(c["at"][i] - c["at"][j]) <= allowed)
+            i, j = i[ok], j[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(c["id"][i]), pa.array(c["id"][j]), pa.array(np.full(len(i), m, np.int32))], schema=_SPANS)
+
+
+def _chunks(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield a, b
+        a = b
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared spans from suffixes sorted by (g, share, suffix)."""
-
-    def rows():
-        for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns))
-
-    out: list[tuple] = []
-
-    def flush():
-        got = list(zip(*out)) or [[]] * 4
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, _SPANS)], schema=_SPANS)
-
-    for _, group in groupby(rows(), lambda r: (r[0], r[1])):
-        trains: dict[tuple, list] = {}
-        wanted: list[tuple] = []
-        for _, _, is_e, rep, n, at, length, suffix in group:
-            if is_e:
-                wanted.append((rep, n, at, length, tuple(suffix[:length])))
-            else:
-                trains.setdefault(tuple(suffix), []).append((rep, n, at))
-        lengths = {w[3] for w in wanted}
-        # In suffix order the suffixes with a common prefix are neighbours: one block a prefix.
-        blocks: dict[tuple, list] = {}
-        for suffix, held in trains.items():
-            for m in lengths:
-                if len(suffix) >= m:
-                    blocks.setdefault(suffix[:m], []).extend(held)
-        for rep, n, at, length, prefix in wanted:
-            for t, tn, tat in blocks.get(prefix, ()):
-                k = max(n, tn) // ONE_IN
-                if abs(n - tn) <= k and abs(at - tat) <= k:
-                    out.append((t, rep, at, length))
-            if len(out) > 50_000:
-                yield flush()
-    yield flush()
-
-
-def within(a: list[int], b: list[int], k: int) -> bool:
+    """Scan of one partition of the suffix array; a prefix that goes on in the next batch is kept for it."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def joined() -> dict[str, np.ndarray]:
+        return {k: np.concatenate([h[k] for h in held]) for k in _COLUMNS}
+
+    for batch in batches:
+        c = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(_COLUMNS)}
+        if not len(c["g"]):
+            continue
+        same = (c["g"] == c["g"][-1]) & (c["share"] == c["share"][-1])
+        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if last:
+            held.append({k: v[:last] for k, v in c.items()})
+            yield from _spans(joined())
+            held = []
+        elif held and (held[-1]["g"][-1] != c["g"][0] or held[-1]["share"][-1] != c["share"][0]):
+            yield from _spans(joined())
+            held = []
+        held.append({k: v[last:] for k, v in c.items()})
+    if held:
+        yield from _spans(joined())
+
+
+def within(a: list, b: list, k: int) -> bool:
     """Whether at most k words must be changed, added or dropped to get from a to b."""
     if abs(len(a) - len(b)) > k:
         return False
@@ -143,28 +179,27 @@ def within(a: list[int], b: list[int], k: int) -> bool:
     return row[len(b)] <= k
 
 
-def _near(a, b):
-    import pandas as pd
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x: str, y: str) -> bool:
+        v, w = x.split(" "), y.split(" ")
+        return within(v, w, max(len(v), len(w)) // ONE_IN)
 
-    return pd.Series([within(list(x), list(y), max(len(x), len(y)) // ONE_IN) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def pairs(train: DataFrame, evals: DataFrame) -> DataFrame:
+def _pairs(records: DataFrame) -> DataFrame:
     """(t, e): the reps of all near-equal (or equal) pairs of distinct training and evaluation word sequences."""
-    records = _records(train, evals)
-    ordered = _suffixes(records).select("g", "share", "e", "rep", "n", "at", "len", "suffix").repartition("g", "share").sortWithinPartitions("g", "share", "suffix")
-    spans = ordered.mapInArrow(_scan, "t string, e string, at int, len int").groupBy("t", "e").agg(F.max("len").alias("span"))
-    w = records.select("rep", "w")
-    both = spans.join(w.select(F.col("rep").alias("t"), F.col("w").alias("tw")), "t").join(w.select(F.col("rep").alias("e"), F.col("w").alias("ew")), "e")
-    same = F.col("t") == F.col("e")
+    ordered = _suffixes(records).repartition("g", "share").sortWithinPartitions("g", "share", "x")
+    spans = ordered.mapInArrow(_scan, "t bigint, e bigint, len int").groupBy("t", "e").agg(F.sum("len").alias("covered"))
+    side = lambda c: records.select(F.col("id").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("folded").alias(f"{c}_text"))
+    both = spans.where(f"covered >= {GRAM}").join(side("t"), "t").join(side("e"), "e")
     near = F.pandas_udf(_near, T.BooleanType())
-    return both.where(same | near("tw", "ew")).select("t", "e")
+    return both.where(near("t_text", "e_text")).select(F.col("t_rep").alias("t"), F.col("e_rep").alias("e"))
 
 
-def _packs(rows: DataFrame, rep: str, ids: str) -> DataFrame:
+def _packs(rows: DataFrame, side: int, rep: str, ids: str) -> DataFrame:
     """The ids of each rep, in one list for each input partition: a rep that holds a third of all rows is many short rows."""
-    part = F.spark_partition_id().alias("_part")
-    return keyed(rows).select("rep", "sent_id", part).groupBy("rep", "_part").agg(F.collect_list("sent_id").alias(ids)).select(F.col("rep").alias(rep), ids)
+    return rows.where(F.col("side") == side).groupBy(F.col("rep").alias(rep), "part").agg(F.collect_list("sent_id").alias(ids)).drop("part")
 
 
 def found(train: DataFrame, *evals: DataFrame) -> DataFrame:
@@ -172,10 +207,9 @@ def found(train: DataFrame, *evals: DataFrame) -> DataFrame:
 
     Null and short texts give no pair. Columns beside sent_id and text are ignored.
     """
-    ev = _union(evals)
-    p = pairs(train, ev)
-    e = p.join(_packs(ev, "e", "es"), "e").select("t", F.explode("es").alias("y"))
-    both = e.join(_packs(train, "t", "ts"), "t").select(F.explode("ts").alias("x"), "y")
+    rows = _rows(train, _union(evals))
+    e = _pairs(_records(rows)).join(_packs(rows, 2, "e", "es"), "e").select("t", F.explode("es").alias("y"))
+    both = e.join(_packs(rows, 1, "t", "ts"), "t").select(F.explode("ts").alias("x"), "y")
     return both.select(F.least("x", "y").alias("sent_id_a"), F.greatest("x", "y").alias("sent_id_b"))
 
 
@@ -190,11 +224,14 @@ def _union(evals: tuple[DataFrame, ...]) -> DataFrame:
 def report(train: DataFrame, *evals: DataFrame) -> DataFrame:
     """(split, source, rows_all, rows_overlapping, partners): evaluation rows with a partner in training, and how many partners."""
     ev = _union(evals)
-    t = keyed(train).groupBy("rep").agg(F.count("*").alias("rows_t")).withColumnRenamed("rep", "t")
-    per_e = pairs(train, ev).join(t, "t").groupBy("e").agg(F.sum("rows_t").alias("partners"))
+    rows = _rows(train, ev)
+    pairs = _pairs(_records(rows))
+    t = rows.where("side = 1").groupBy(F.col("rep").alias("t")).agg(F.count("*").alias("rows_t"))
+    per_e = pairs.join(t, "t").groupBy("e").agg(F.sum("rows_t").alias("partners"))
     # Rows of one rep are counted before the join, so a repeated sentence reaches it once for each split and source.
-    shares = keyed(ev, "split", "source").groupBy("rep", "split", "source").agg(F.count("*").alias("rows_e"))
-    hit = shares.join(per_e.withColumnRenamed("e", "rep"), "rep").groupBy("split", "source")
+    keyed = ev.select("split", "source", folded(F.col("text")).alias("folded")).select("split", "source", F.unhex(F.md5("folded")).alias("e"))
+    shares = keyed.groupBy("e", "split", "source").agg(F.count("*").alias("rows_e"))
+    hit = shares.join(per_e, "e").groupBy("split", "source")
     hit = hit.agg(F.sum("rows_e").alias("rows_overlapping"), F.sum(F.col("rows_e") * F.col("partners")).alias("partners"))
     total = ev.groupBy("split", "source").agg(F.count("*").alias("rows_all"))
     both = total.alias("a").join(hit.alias("h"), F.col("a.split").eqNullSafe(F.col("h.split")) & F.col("a.source").eqNullSafe(F.col("h.source")), "left")
