@@ -44,20 +44,25 @@ def _runs(n: Column) -> Column:
 
 
 def _rows(train: DataFrame, evals: DataFrame) -> DataFrame:
-    """(sent_id, side, folded, rep, part) of rows of enough words. rep: digest of the folded words; part: input partition."""
+    """(sent_id, side, folded, part) of rows of enough words. part: the input partition."""
     sided = train.select("sent_id", "text", F.lit(1).alias("side")).unionByName(evals.select("sent_id", "text", F.lit(2).alias("side")))
     f = sided.select("sent_id", "side", folded(F.col("text")).alias("folded"), F.spark_partition_id().alias("part"))
-    return cut(f.where(F.size(F.split("folded", " ")) >= LEAST_WORDS).withColumn("rep", F.unhex(F.md5("folded"))), "overlap-rows")
+    return cut(f.where(F.size(F.split("folded", " ")) >= LEAST_WORDS), "overlap-rows")
+
+
+def _rep() -> Column:
+    """What stands for a word sequence: the digest of its folded words, computed where needed as it doesn't compress."""
+    return F.unhex(F.md5("folded"))
 
 
 def _records(rows: DataFrame) -> DataFrame:
-    """One row for each distinct word sequence: id, rep, folded, n, and the sides it occurs on (1 training, 2 evaluation, 3 both)."""
+    """One row for each distinct word sequence: id, folded, n, and the sides it occurs on (1 training, 2 evaluation, 3 both)."""
     reps = rows.groupBy("folded").agg(F.bit_or("side").alias("side"))
-    return cut(reps.select(F.monotonically_increasing_id().alias("id"), F.unhex(F.md5("folded")).alias("rep"), "folded", F.size(F.split("folded", " ")).alias("n"), "side"), "overlap")
+    return cut(reps.select(F.monotonically_increasing_id().alias("id"), "folded", F.size(F.split("folded", " ")).alias("n"), "side"), "overlap")
 
 
 def _suffixes(records: DataFrame) -> DataFrame:
-    """Runs of training texts and all suffixes of evaluation texts: (g, share, x, e, id, n, at, len).
+    """Runs of training texts and all suffixes of evaluation texts: (g, share, x, id, info), info packing n, at, len and e.
 
     g hashes the first GRAM words; x holds BITS bits for each further word up to SPAN, so (g, x) is the suffix order and
     a common prefix of x is a common prefix of the suffixes.
@@ -87,22 +92,24 @@ def _suffixes(records: DataFrame) -> DataFrame:
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     spread = spread.withColumn("row", F.explode(F.when(F.col("e"), every("ts")).otherwise(own("ts"))))
     spread = spread.withColumn("col", F.explode(F.when(F.col("e"), own("es")).otherwise(every("es"))))
-    return spread.select("g", (F.col("row") * F.col("es") + F.col("col")).alias("share"), "x", "e", "id", "n", "at", "len")
+    info = F.shiftleft(F.col("n").cast("long"), 34) + F.shiftleft(F.col("at").cast("long"), 4) + F.col("len") * 2 + F.col("e").cast("int")
+    return spread.select("g", (F.col("row") * F.col("es") + F.col("col")).alias("share"), "x", "id", info.alias("info"))
 
 
 _SPANS = pa.schema([("t", pa.int64()), ("e", pa.int64()), ("len", pa.int32())])
-_COLUMNS = ("g", "share", "x", "e", "id", "n", "at", "len")
+_COLUMNS = ("g", "share", "x", "id", "info")
 
 
 def _spans(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Shared spans within suffixes in order: blocks of neighbours with a common prefix of the length of a run."""
-    e, t = c["e"], ~c["e"]
-    for m in np.unique(c["len"][t]):
+    e = (c["info"] & 1).astype(bool)
+    t, length, at, words = ~e, c["info"] >> 1 & 7, c["info"] >> 4 & (1 << 30) - 1, c["info"] >> 34
+    for m in np.unique(length[t]):
         prefix = c["x"] >> (BITS * (SPAN - m)) if m > GRAM else np.zeros_like(c["x"])
         new = np.ones(len(e), bool)
         new[1:] = (c["g"][1:] != c["g"][:-1]) | (c["share"][1:] != c["share"][:-1]) | (prefix[1:] != prefix[:-1])
         block = np.cumsum(new)
-        runs, suffixes = np.flatnonzero(t & (c["len"] == m)), np.flatnonzero(e)
+        runs, suffixes = np.flatnonzero(t & (length == m)), np.flatnonzero(e)
         of = block[suffixes]
         lo, hi = np.searchsorted(of, block[runs]), np.searchsorted(of, block[runs], "right")
         runs, lo, n = runs[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
@@ -111,8 +118,8 @@ def _spans(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             k = n[a:b]
             i = np.repeat(runs[a:b], k)
             j = suffixes[np.repeat(lo[a:b], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
-            allowed = np.maximum(c["n"][i], c["n"][j]) // ONE_IN
-            ok = (np.abs(c["n"][i] - c["n"][j]) <= allowed) & (np.abs(c["at"][i] - c["at"][j]) <= allowed)
+            allowed = np.maximum(words[i], words[j]) // ONE_IN
+            ok = (np.abs(words[i] - words[j]) <= allowed) & (np.abs(at[i] - at[j]) <= allowed)
             i, j = i[ok], j[ok]
             yield pa.RecordBatch.from_arrays([pa.array(c["id"][i]), pa.array(c["id"][j]), pa.array(np.full(len(i), m, np.int32))], schema=_SPANS)
 
@@ -191,7 +198,7 @@ def _pairs(records: DataFrame) -> DataFrame:
     """(t, e): the reps of all near-equal (or equal) pairs of distinct training and evaluation word sequences."""
     ordered = _suffixes(records).repartition("g", "share").sortWithinPartitions("g", "share", "x")
     spans = ordered.mapInArrow(_scan, "t bigint, e bigint, len int").groupBy("t", "e").agg(F.sum("len").alias("covered"))
-    side = lambda c: records.select(F.col("id").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("folded").alias(f"{c}_text"))
+    side = lambda c: records.select(F.col("id").alias(c), _rep().alias(f"{c}_rep"), F.col("folded").alias(f"{c}_text"))
     both = spans.where(f"covered >= {GRAM}").join(side("t"), "t").join(side("e"), "e")
     near = F.pandas_udf(_near, T.BooleanType())
     return both.where(near("t_text", "e_text")).select(F.col("t_rep").alias("t"), F.col("e_rep").alias("e"))
@@ -199,7 +206,7 @@ def _pairs(records: DataFrame) -> DataFrame:
 
 def _packs(rows: DataFrame, side: int, rep: str, ids: str) -> DataFrame:
     """The ids of each rep, in one list for each input partition: a rep that holds a third of all rows is many short rows."""
-    return rows.where(F.col("side") == side).groupBy(F.col("rep").alias(rep), "part").agg(F.collect_list("sent_id").alias(ids)).drop("part")
+    return rows.where(F.col("side") == side).groupBy(_rep().alias(rep), "part").agg(F.collect_list("sent_id").alias(ids)).drop("part")
 
 
 def found(train: DataFrame, *evals: DataFrame) -> DataFrame:
@@ -226,7 +233,7 @@ def report(train: DataFrame, *evals: DataFrame) -> DataFrame:
     ev = _union(evals)
     rows = _rows(train, ev)
     pairs = _pairs(_records(rows))
-    t = rows.where("side = 1").groupBy(F.col("rep").alias("t")).agg(F.count("*").alias("rows_t"))
+    t = rows.where("side = 1").groupBy(_rep().alias("t")).agg(F.count("*").alias("rows_t"))
     per_e = pairs.join(t, "t").groupBy("e").agg(F.sum("rows_t").alias("partners"))
     # Rows of one rep are counted before the join, so a repeated sentence reaches it once for each split and source.
     keyed = ev.select("split", "source", folded(F.col("text")).alias("folded")).select("split", "source", F.unhex(F.md5("folded")).alias("e"))
