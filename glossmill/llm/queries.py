@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import chunking, format_dups, lookalike, mixing, overlap, packing, quality
+from . import chunking, format_dups, lookalike, mixing, overlap, packing, quality, sentences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_pieces": lambda s, d: chunking.split_oversized(keeper(s, d), table(s, d, "size_limits")),
         "p2_found": lambda s, d: quality.found(keeper(s, d)),
         "p2_quality": lambda s, d: quality.judged(keeper(s, d)),
+        "p3_found": lambda s, d: sentences.found(keeper(s, d), table(s, d, "sentence_check")),
+        "p3_sentences": lambda s, d: sentences.sentences(keeper(s, d)),
         "p4_found": lambda s, d: format_dups.found(keeper(s, d)),
         "p4_collapsed": lambda s, d: format_dups.collapsed(keeper(s, d)),
         "p5_found": lambda s, d: overlap.found(table(s, d, "train"), table(s, d, "dev"), table(s, d, "test")),
