@@ -22,14 +22,14 @@ ROWS, COMPONENTS, PASSES, FLOOR = 50_000, {"prose": 16, "list": 10, "table": 8,
 
 
 def kind_of_example(r: pd.Series) -> str | None:
-    n, latin = r.word_count, r.vowel_share != 0.4
-    if r.same_cells >= 0.9 and r.line_count > 2 and r.symbol_share < 0.6 and r.common_share < 0.03 and r.ending_share < 0.3 and r.field_share < 0.5:
+    n, latin = r.word_count, r.latin_share > 0.5
+    if r.cell_share >= 0.9 and r.line_count > 2 and r.symbol_share < 0.6 and r.common_share < 0.03 and r.ending_share < 0.3 and r.field_share < 0.5:
         return "table"
-    if (n >= 10 and r.distinct_words <= 5) or r.broken_share > 0.04 or r.long_share > 0.5 or r.vowel_share < 0.27:
+    if (n >= 10 and r.distinct_words <= 5) or r.broken_share > 0.04 or r.long_share > 0.5:
         return "junk"
-    if (r.letter_share < 0.45 and r.cell_share < 0.5) or (r.code_share > 0.12 and r.same_cells < 0.9 and r.field_share < 0.8 and r.mean_word_length > 7):
+    if (r.letter_share < 0.45 and r.cell_share < 0.5) or (r.code_share > 0.12 and r.cell_share < 0.9 and r.field_share < 0.8 and r.mean_word_length > 7):
         return "junk"
-    if latin and r.vowel_share < 0.34 and r.common_share == 0 and r.ending_share == 0 and r.line_count == 1:
+    if latin and r.cluster_share > 0.2 and r.common_share == 0 and r.ending_share == 0 and r.line_count == 1:
         return "junk"
     if r.symbol_share > 0.8:
         return "junk"
