@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put the folder of this package on the Python path of the workers, for drivers that found it some other way.
+
+    On a cluster the package must be installed, or lie at the same path, on every executor.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder (`spark.checkpoint.dir`); a private one only where that is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
