@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import chunking, format_dups, lookalike, mixing, overlap, packing, quality, sentences
+from . import chunking, format_dups, lookalike, mixing, overlap, packing, pii, quality, sentences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,6 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_pack": lambda s, d: packing.assigned(table(s, d, "documents"), table(s, d, "pack_limits")),
         "p7_report": lambda s, d: packing.report(table(s, d, "documents"), table(s, d, "pack_limits")),
         "p8_mix": lambda s, d: mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_found": lambda s, d: pii.found(table(s, d, "documents")),
+        "p9_redacted": lambda s, d: pii.redacted(table(s, d, "documents")),
         "p8_report": lambda s, d: mixing.report(table(s, d, "documents"), table(s, d, "mix_targets")),
     }
 
