@@ -27,11 +27,11 @@ def ema(rows: DataFrame, key: str, order: list[str], value: Column, alpha: float
 
     As a weighted sum with weights from the row's number, it is combined before the shuffle however many rows a key has.
     """
-    nums = numbered(rows.where(value.isNotNull()).select(key, *order, value.cast("double").alias("v")), order, [key], "i")
-    sizes = nums.groupBy(key).agg(F.max("i").alias("last")).withColumnRenamed(key, "_k")
+    nums = numbered(rows.where(value.isNotNull()).select(key, *order, value.cast("double").alias("_v")), order, [key], "_i")
+    sizes = nums.groupBy(key).agg(F.max("_i").alias("_last")).withColumnRenamed(key, "_k")
     both = nums.join(sizes, nums[key].eqNullSafe(sizes["_k"]))
-    weight = F.pow(F.lit(1 - alpha), F.col("last") - F.col("i")) * F.when(F.col("i") == 0, 1.0).otherwise(alpha)
-    return both.groupBy(key).agg((F.max("last") + 1).alias("n"), F.sum(F.col("v") * weight).alias("ema"))
+    weight = F.pow(F.lit(1 - alpha), F.col("_last") - F.col("_i")) * F.when(F.col("_i") == 0, 1.0).otherwise(alpha)
+    return both.groupBy(key).agg((F.max("_last") + 1).alias("n"), F.sum(F.col("_v") * weight).alias("ema"))
 
 
 def best_so_far(means: DataFrame, key: str, step: str, value: str) -> DataFrame:
