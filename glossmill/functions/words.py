@@ -18,6 +18,7 @@ DROPPED = "\"'`¨´ʼʽˈ‘”‟•′″Ꞌꞌ"
 HYPHENS = "-‐‑‒"
 #: Letters and digits as Python's `isalpha` and `isdigit` see them; letters of a cleaned sentence, by language.
 WORD_CHARS = r"\p{L}\p{Nd}²³¹"
+_PLAIN = f"^[{WORD_CHARS}]*$"
 ALPHABETS = {"lt": "a-zA-ZąčęėįšųūžĄČĘĖĮŠŲŪŽ", "any": r"\p{L}"}
 
 
@@ -25,7 +26,8 @@ def split_word(token: Column | str) -> Column:
     """struct<word, punct>: the leading run of letters and digits, and all the rest. Null stays null in both."""
     t = col(token)
     word = F.regexp_extract(t, f"^[{WORD_CHARS}]*", 0)
-    return F.struct(word.alias("word"), F.substr(t, F.char_length(word) + 1).alias("punct"))
+    parts = F.struct(word.alias("word"), F.substr(t, F.char_length(word) + 1).alias("punct"))
+    return F.when(t.rlike(_PLAIN), F.struct(t.alias("word"), F.lit("").alias("punct"))).otherwise(parts)
 
 
 def parse_word(token: Column | str) -> Column:
@@ -33,8 +35,10 @@ def parse_word(token: Column | str) -> Column:
     t, pattern = col(token), r"(?s)^(.*?)\(=([^)]*)\)(.*)$"
     tagged = t.rlike(pattern)
     rest = F.when(tagged, F.concat(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 3))).otherwise(t)
-    parts = split_word(rest)
-    return F.struct(parts["word"].alias("word"), parts["punct"].alias("punct"), F.when(tagged, F.regexp_extract(t, pattern, 2)).otherwise("").alias("mi"))
+    word = F.regexp_extract(rest, f"^[{WORD_CHARS}]*", 0)
+    parts = F.struct(word.alias("word"), F.substr(rest, F.char_length(word) + 1).alias("punct"))
+    whole = F.struct(parts["word"].alias("word"), parts["punct"].alias("punct"), F.when(tagged, F.regexp_extract(t, pattern, 2)).otherwise("").alias("mi"))
+    return F.when(t.rlike(_PLAIN), F.struct(t.alias("word"), F.lit("").alias("punct"), F.lit("").alias("mi"))).otherwise(whole)
 
 
 def render_word(word: Column, punct: Column, mi: Column) -> Column:
@@ -125,6 +129,12 @@ def skip_reason(word: Column, punct: Column, mi: Column, alphabet: str = "lt") -
     )
 
 
+def usable(word: Column, punct: Column, mi: Column, alphabet: str = "lt") -> Column:
+    """Whether `skip_reason` finds nothing, in fewer steps: a word of the alphabet's letters has no number and isn't empty."""
+    tag = ~mi.startswith("D") & ~(mi.startswith("M") & word.rlike("[IXV]"))
+    return punct.isin(*PUNCTUATION) & ((mi == "") | tag) & allowed_symbols(word, alphabet)
+
+
 def labelled(text: Column | str) -> Column:
     """array<struct<word, case_id, punct_id>> of the words of a line, in lower case; words of signs only stay, empty."""
 

@@ -59,9 +59,9 @@ def tokenized(sentences: DataFrame, group: str, sent: str, text: str, tokenizer,
 
 
 def without_long(words: DataFrame, group: str, sent: str, length: int) -> DataFrame:
-    """Words of sentences of fewer than length - MARGIN tokens."""
+    """Words of sentences of fewer than length - MARGIN tokens. Rows are laid out by group, as packing needs them next."""
     n = F.sum(F.size("ids")).over(W.partitionBy(group, sent))
-    return words.withColumn("_n", n).where(F.col("_n") < length - MARGIN).drop("_n")
+    return words.repartition(group).withColumn("_n", n).where(F.col("_n") < length - MARGIN).drop("_n")
 
 
 def fold(sents: list[int], positions: list[int], sizes: list[int], length: int, carry: bool) -> list[int]:
@@ -80,29 +80,33 @@ def fold(sents: list[int], positions: list[int], sizes: list[int], length: int,
     return out
 
 
-def placed(words: DataFrame, group: str, sent: str, length: int, carry: bool) -> DataFrame:
-    """`words` with `row`. Groups are packed apart, in the order of (sent, pos); a group should be of a document's size."""
-    ordered = words.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(sent, "pos", F.size("ids").alias("n")))).alias("w"))
-
-    def rows(w: pd.Series) -> pd.Series:
-        return pd.Series([fold([x[sent] for x in g], [x["pos"] for x in g], [x["n"] for x in g], length, carry) for g in w])
-
-    at = ordered.select(group, F.arrays_zip(F.col("w").alias("w"), F.pandas_udf(rows, T.ArrayType(T.IntegerType()))("w").alias("row")).alias("z"))
-    flat = at.select(F.col(group).alias("_g"), F.explode("z").alias("z")).select("_g", F.col(f"z.w.{sent}").alias("_s"), F.col("z.w.pos").alias("_p"), "z.row")
-    on = words[group].eqNullSafe(flat["_g"]) & (words[sent] == flat["_s"]) & (words["pos"] == flat["_p"])
-    return words.join(flat, on).drop("_g", "_s", "_p")
+_PLACE = T.ArrayType(T.StructType([T.StructField("row", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 
 
 def packed(words: DataFrame, group: str, sent: str, length: int, carry: bool = True, flush_tail: bool = False) -> DataFrame:
-    """`words`, repeated as carried over, with the `row` they are in. Without `flush_tail` each group's last row is dropped."""
-    rows = placed(words, group, sent, length, carry)
-    if carry:
-        rows = rows.withColumn("_last", F.max("row").over(W.partitionBy(group, sent)))
-        rows = rows.withColumn("row", F.explode(F.sequence("row", "_last"))).drop("_last")
-    if not flush_tail:
-        end = F.max("row").over(W.partitionBy(group))
-        rows = rows.withColumn("_end", end).where("row < _end").drop("_end")
-    return rows
+    """`words`, repeated as carried over, with the `row` they are in. Without `flush_tail` each group's last row is dropped.
+
+    Groups are packed apart, in the order of (sent, pos); a group should be of a document's size. Words stay in their
+    group's array until they are placed, so there is one shuffle and no join.
+    """
+    rest = [c for c in words.columns if c not in (group, sent, "pos")]
+    grouped = words.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(sent, "pos", *rest))).alias("w"))
+
+    def place(sents: pd.Series, positions: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for s, p, n in zip(sents, positions, sizes):
+            rows = fold(s, p, n, length, carry)
+            last = dict(zip(s, rows))  # rows only grow, so the last one stays
+            out.append([(r, last[x] if carry else r) for x, r in zip(s, rows)])
+        return pd.Series(out)
+
+    take = lambda f: F.transform("w", f)
+    at = F.pandas_udf(place, _PLACE)(take(lambda x: x[sent]), take(lambda x: x["pos"]), take(lambda x: F.size(x["ids"])))
+    rows = grouped.select(group, "w", at.alias("at")).withColumn("end", F.element_at("at", -1)["row"])
+    flat = rows.select(group, "end", F.explode(F.arrays_zip("w", "at")).alias("z"))
+    spread = flat.select(group, "end", "z.w.*", F.explode(F.sequence("z.at.row", "z.at.last")).alias("row"))
+    kept = spread if flush_tail else spread.where("row < end")
+    return kept.select(*words.columns, "row")
 
 
 def padded(ids: Column, valid: Column, cases: Column, puncts: Column, length: int) -> list[Column]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import tokens
-from ..functions.words import drop_symbols, fixed_case, fixed_punctuation, parse_word, render_word, skip_reason
+from ..functions.words import drop_symbols, fixed_case, fixed_punctuation, parse_word, render_word, usable
+from ..plans.shared import once
 
 #: A local stand-in for an external splitter: a run of text that ends in sentence marks.
 SENTENCE = r"[^.!?\n]+[.!?]+"
@@ -69,12 +70,12 @@ def attach_punctuation(words: Column) -> Column:
         return F.when(stray & takes, ended).when(stray, done).otherwise(F.concat(done, F.array(w)))
 
     fixed = F.transform(words, one)
-    return F.aggregate(fixed, F.slice(fixed, F.lit(1), F.lit(0)), step)
+    return F.aggregate(fixed, F.array().cast("array<struct<word:string,punct:string,mi:string>>"), step)
 
 
 def is_ok(words: Column, alphabet: str = "lt") -> Column:
     """Whether a sentence can be used: no bad word, no small first letter, a sign at the end. True for no words."""
-    good = F.forall(words, lambda w: skip_reason(w["word"], w["punct"], w["mi"], alphabet).isNull())
+    good = F.forall(words, lambda w: usable(w["word"], w["punct"], w["mi"], alphabet))
     edges = ~F.get(words, F.lit(0))["word"].rlike(r"^\p{Ll}") & (F.element_at(words, -1)["punct"] != "")
     return good & F.when(F.size(words) > 0, edges).otherwise(True)
 
@@ -91,10 +92,9 @@ def repair_case(rows: DataFrame, text: str = "sentence") -> DataFrame:
 
 def judged(rows: DataFrame, text: str = "text", alphabet: str = "lt") -> DataFrame:
     """`rows` with `clean` (the repaired line), `ok` (usable) and `short` (under LEAST characters). Null texts are dropped."""
-    words = attach_punctuation(parsed(drop_symbols(text)))
-    out = rows.where(F.col(text).isNotNull()).withColumn("_w", words)
-    out = out.withColumns({"clean": joined(F.col("_w")), "ok": is_ok(F.col("_w"), alphabet)})
-    return out.withColumn("short", F.char_length("clean") < LEAST).drop("_w")
+    out = once(rows.where(F.col(text).isNotNull()), _w=attach_punctuation(parsed(drop_symbols(text))))
+    out = once(out, clean=joined(F.col("_w")), ok=is_ok(F.col("_w"), alphabet)).drop("_w")
+    return out.withColumn("short", F.char_length("clean") < LEAST)
 
 
 def cleaned(rows: DataFrame, text: str = "text", alphabet: str = "lt") -> DataFrame:

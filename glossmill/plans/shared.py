@@ -55,6 +55,22 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores. A no-op unless the input is smaller than one split a core,
+    where work on each row costs more than moving it once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """`df` with new columns, each computed exactly once a row.
+
+    The optimizer moves a filter on a projected column below the projection and so computes the column twice; it can't
+    move one below a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint only if the optimizer's own estimate of `df` is under `limit` bytes."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -15,7 +15,7 @@ from .operators import averaging, dataset, metrics, packing, scoring, sentences,
 from .plans import corpus
 from .plans.running import numbered
 from .plans.settings import Settings
-from .plans.shared import shared_dir
+from .plans.shared import shared_dir, spread
 from .sources import files
 from .sources.tables import table
 from .streaming import resumable
@@ -25,11 +25,11 @@ LENGTH, CHUNK, CAP, PIECES = 60, packing.FixedChunk(4), 400, "/opt/tokenizers/pi
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents")
+    return spread(table(s, d, "documents"))
 
 
 def _train(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "train")
+    return spread(table(s, d, "train"))
 
 
 def _split_tables(s: SparkSession, d: str) -> DataFrame:
