@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shared import spread
 from ..sources.tables import table
 from . import chunking, format_dups, lookalike, mixing, overlap, packing, pii, quality, sentences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    keeper = lambda s, d: table(s, d, "parquet_keeper")
+    keeper = lambda s, d: spread(table(s, d, "parquet_keeper"))
+    documents = lambda s, d: spread(table(s, d, "documents"))
     return {
         "p1_found": lambda s, d: chunking.found(keeper(s, d), table(s, d, "size_limits")),
         "p1_pieces": lambda s, d: chunking.split_oversized(keeper(s, d), table(s, d, "size_limits")),
@@ -25,14 +28,74 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_report": lambda s, d: overlap.report(table(s, d, "train"), table(s, d, "dev"), table(s, d, "test")),
         "p6_found": lambda s, d: lookalike.found(keeper(s, d)),
         "p6_normalized": lambda s, d: lookalike.normalized(keeper(s, d)),
-        "p7_pack": lambda s, d: packing.assigned(table(s, d, "documents"), table(s, d, "pack_limits")),
-        "p7_report": lambda s, d: packing.report(table(s, d, "documents"), table(s, d, "pack_limits")),
-        "p8_mix": lambda s, d: mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
-        "p9_found": lambda s, d: pii.found(table(s, d, "documents")),
-        "p9_redacted": lambda s, d: pii.redacted(table(s, d, "documents")),
-        "p8_report": lambda s, d: mixing.report(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p7_pack": lambda s, d: packing.assigned(documents(s, d), table(s, d, "pack_limits")),
+        "p7_report": lambda s, d: packing.report(documents(s, d), table(s, d, "pack_limits")),
+        "p8_mix": lambda s, d: mixing.mixed(documents(s, d), table(s, d, "mix_targets")),
+        "p9_found": lambda s, d: pii.found(documents(s, d)),
+        "p9_redacted": lambda s, d: pii.redacted(documents(s, d)),
+        "p8_report": lambda s, d: mixing.report(documents(s, d), table(s, d, "mix_targets")),
     }
 
 
+_NL = r"(?:\r\n|[\n\r\x{2028}\x{2029}])"
+_BL = r"[\t\x0b\x0c\x1c-\x1f \x{85}\p{Zs}]*"
+_BLANK_LINES = rf"(?:^{_BL}{_NL}|{_NL})(?:{_BL}{_NL})+(?:{_BL}$)?|^{_BL}{_NL}|{_NL}{_BL}$"
+
+
+_WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_FIELD = r"""^[\s"''*_]*\p{L}[\p{L}\p{M}\p{N} _.\-]{0,39}["''*_]*\s*(?:=>|[:=])\s*(.*)$"""
+
+
+def _folded(t: str) -> str:
+    t = f"replace(replace(replace(lower({t}), 'ß', 'ss'), 'ς', 'σ'), 'և', 'եւ')"
+    return rf"trim(regexp_replace(regexp_replace({t}, '[\p{{P}}\p{{S}}]+', '', 'g'), '{_WS}+', ' ', 'g'))"
+
+
+def _same_fields() -> str:
+    """(keep_id, row_id) of equal canonical forms; fields as sorted name/value pairs."""
+    pair = rf"""lambda p: {_folded(r"regexp_extract(p, '^([^:=]*?)\s*(?:=>|[:=])', 1)")} || chr(2) || {_folded(f"regexp_extract(p, '{_FIELD}', 1)")}"""
+    parts = f"list_filter(regexp_split_to_array(text, '[\\n\\r\\x{{2028}}\\x{{2029}};|]+'), lambda p: regexp_matches(p, '[^' || '{_WS[1:-1]}' || ']'))"
+    objects = r"""regexp_extract_all(text, '"[^"]*"\s*:\s*"[^"]*"')"""
+    bad = rf"""len(list_filter(parts, lambda p: NOT regexp_matches(p, '{_FIELD}') OR regexp_matches(p, '[.!?…]["”“»)'']*\s*$')))"""
+    return rf"""WITH a AS (SELECT row_id, text, {parts} AS parts, CASE WHEN regexp_matches(text, '^\s*\{{') THEN {objects} ELSE [] END AS obj FROM parquet_keeper WHERE text IS NOT NULL),
+        b AS (SELECT row_id, CASE WHEN len(obj) > 0 THEN chr(1) || array_to_string(list_sort(list_transform(obj, {pair})), chr(1))
+            WHEN len(parts) > 1 AND {bad} = 0 THEN chr(1) || array_to_string(list_sort(list_transform(parts, {pair})), chr(1)) ELSE {_folded("text")} END AS k FROM a)
+        SELECT * FROM (SELECT min(row_id) OVER (PARTITION BY k) AS keep_id, row_id FROM b WHERE regexp_matches(k, '[\p{{L}}\p{{N}}]')) WHERE keep_id <> row_id"""
+
+
+def _same_look() -> str:
+    """(row_id_a, row_id_b) of texts that differ but have one mapped and composed form."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    wide = lookalike._wide()
+    old, new = wide[0] + "".join(a for a, _ in lookalike.SAME_SHAPE), wide[1] + "".join(b for _, b in lookalike.SAME_SHAPE)
+    t = f"translate(text, {quoted(old)}, {quoted(new)})"
+    for a, b in lookalike._ligatures().items():
+        t = f"replace({t}, {quoted(a)}, {quoted(b)})"
+    gone = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", lookalike.INVISIBLE)
+    t = rf"regexp_replace({t}, '([\x{{2190}}-\x{{2bff}}\x{{fe0f}}\x{{1f000}}-\x{{1faff}}])\x{{200d}}', '\1' || chr(57344), 'g')"
+    t = rf"regexp_replace({t}, '[{gone}\x{{200d}}]', '', 'g')"
+    return rf"""WITH s AS (SELECT row_id, text, nfc_normalize({t}) AS k FROM parquet_keeper WHERE regexp_matches(text, '[^' || '{_WS[1:-1]}' || ']'))
+        SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM s a JOIN s b ON a.k = b.k AND a.row_id < b.row_id AND a.text <> b.text"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    longest = lambda pattern: f"list_max(list_transform(regexp_split_to_array(text, '{pattern}'), lambda x: length(x)))"
+    return {
+        "p4_found": _same_fields(),
+        "p6_found": _same_look(),
+        "p1_found": rf"""WITH k AS (SELECT row_id, text, coalesce(l.max_chars, (SELECT max_chars FROM size_limits WHERE source = 'default')) AS m
+                FROM parquet_keeper p LEFT JOIN size_limits l ON p.source = l.source WHERE text IS NOT NULL)
+            SELECT row_id, CASE WHEN {longest(_BLANK_LINES)} <= m THEN 'blank_line' WHEN {longest(_NL)} <= m THEN 'line_break'
+                WHEN {longest(r'[\t-\r\x1c-\x20\x{85}\p{Z}]+')} <= m THEN 'white_space' ELSE 'no_space' END AS cut_at FROM k WHERE length(text) > m""",
+        "p5_report": r"""WITH norm AS (SELECT sent_id, split, source, trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]+', '', 'g'), '[\t-\r\x1c-\x20\x{85}\p{Z}]+', ' ', 'g')) AS f
+                FROM (SELECT sent_id, split, source, text FROM train UNION ALL SELECT sent_id, split, source, text FROM dev UNION ALL SELECT sent_id, split, source, text FROM test)),
+            w AS (SELECT *, string_split(f, ' ') AS l FROM norm WHERE len(string_split(f, ' ')) >= 6),
+            t AS (SELECT l, count(*) AS c, len(l) AS n FROM w WHERE split = 'train' GROUP BY l), e AS (SELECT DISTINCT l, len(l) AS n FROM w WHERE split <> 'train'),
+            tw AS (SELECT DISTINCT l, unnest(l) AS x FROM t), ew AS (SELECT DISTINCT l, unnest(l) AS x FROM e),
+            cand AS (SELECT tw.l AS a, ew.l AS b FROM tw JOIN ew USING (x) GROUP BY 1, 2 HAVING count(*) >= len(list_distinct(ew.l)) - greatest(len(tw.l), len(ew.l)) // 8 AND abs(len(tw.l) - len(ew.l)) <= greatest(len(tw.l), len(ew.l)) // 8),
+            coded AS (SELECT a, b, list_distinct(list_concat(a, b)) AS v FROM cand),
+            dist AS (SELECT a, b, levenshtein(array_to_string(list_transform(a, lambda x: chr((32 + list_position(v, x))::INT)), ''), array_to_string(list_transform(b, lambda x: chr((32 + list_position(v, x))::INT)), '')) AS d FROM coded),
+            per AS (SELECT b, sum(c)::BIGINT AS partners FROM dist JOIN t ON t.l = a WHERE d <= greatest(len(a), len(b)) // 8 GROUP BY b)
+            SELECT n.split, n.source, count(*) AS rows_all, count(partners) AS rows_overlapping, coalesce(sum(partners), 0)::BIGINT AS partners
+            FROM norm n LEFT JOIN per ON string_split(n.f, ' ') = per.b WHERE n.split <> 'train' GROUP BY n.split, n.source""",
+    }
