@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BREAK = r"(?:\r\n|[\n\r\u2028\u2029])"
+BREAK = r"(?>\r\n|[\n\r\u2028\u2029])"
 _BLANK_IN = r"[^\S\n\r\u2028\u2029]*"
 _LINE = re.compile(BREAK)
 _BLANK = re.compile(rf"(?:\A{_BLANK_IN}{BREAK}|{BREAK})(?:{_BLANK_IN}{BREAK})+(?:{_BLANK_IN}\Z)?|\A{_BLANK_IN}{BREAK}|{BREAK}{_BLANK_IN}\Z")

@@ -61,7 +61,7 @@ def skeleton(text: Column) -> Column:
     for a, b in _ligatures().items():
         parts = F.replace(parts, F.lit(a), F.lit(b))
     t = F.when(t.rlike(f"[{''.join(_ligatures())}]"), parts).otherwise(t)
-    joined = F.regexp_replace(F.regexp_replace(t, rf"(?<=[\x{{2190}}-\x{{2bff}}\x{{fe0f}}\x{{1f000}}-\x{{1faff}}]){JOINER}", KEPT), f"[{INVISIBLE}{JOINER}]", "")
+    joined = F.regexp_replace(F.regexp_replace(t, rf"([\x{{2190}}-\x{{2bff}}\x{{fe0f}}\x{{1f000}}-\x{{1faff}}]){JOINER}", f"$1{KEPT}"), f"[{INVISIBLE}{JOINER}]", "")
     return F.when(t.rlike(f"[{INVISIBLE}{JOINER}]"), joined).otherwise(t)
 
 

@@ -197,7 +197,7 @@ def _count(texts: list[str]) -> dict[str, np.ndarray]:
 
     # a line ends in a mark if nothing but closing signs and blanks follows the mark
     solid = np.flatnonzero(((cls & CLOSE) == 0) & (~space | breaks))
-    marked = solid[:-1][((cls[solid[:-1]] & MARK) != 0) & breaks[solid[1:]]] if len(solid) > 1 else solid
+    marked = solid[:-1][((cls[solid[:-1]] & MARK) != 0) & breaks[solid[1:]]] if len(solid) > 1 else solid[:0]
     at = lambda i: codes[np.minimum(i, len(codes) - 1)]
     digit = lambda i: (bits[at(i)] & NUMBER) != 0
     dotted = lambda i: (at(i) == 46) | (at(i) == 41)

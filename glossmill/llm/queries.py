@@ -37,7 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-_NL = r"(?:\r\n|[\n\r\x{2028}\x{2029}])"
+_NL = r"(?:\x{e001}?\n|[\r\x{2028}\x{2029}])"  # CRLF comes as U+E001 LF, so no pattern can take half of it
 _BL = r"[\t\x0b\x0c\x1c-\x1f \x{85}\p{Zs}]*"
 _BLANK_LINES = rf"(?:^{_BL}{_NL}|{_NL})(?:{_BL}{_NL})+(?:{_BL}$)?|^{_BL}{_NL}|{_NL}{_BL}$"
 
@@ -83,10 +83,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _same_fields(),
         "p6_found": _same_look(),
-        "p1_found": rf"""WITH k AS (SELECT row_id, text, coalesce(l.max_chars, (SELECT max_chars FROM size_limits WHERE source = 'default')) AS m
+        "p1_found": rf"""WITH k AS (SELECT row_id, replace(text, chr(13) || chr(10), chr(57345) || chr(10)) AS text, coalesce(l.max_chars, (SELECT max_chars FROM size_limits WHERE source = 'default')) AS m
                 FROM parquet_keeper p LEFT JOIN size_limits l ON p.source = l.source WHERE text IS NOT NULL)
             SELECT row_id, CASE WHEN {longest(_BLANK_LINES)} <= m THEN 'blank_line' WHEN {longest(_NL)} <= m THEN 'line_break'
-                WHEN {longest(r'[\t-\r\x1c-\x20\x{85}\p{Z}]+')} <= m THEN 'white_space' ELSE 'no_space' END AS cut_at FROM k WHERE length(text) > m""",
+                WHEN {longest(r'[\t-\r\x1c-\x20\x{85}\x{e001}\p{Z}]+')} <= m THEN 'white_space' ELSE 'no_space' END AS cut_at FROM k WHERE length(text) > m""",
         "p5_report": r"""WITH norm AS (SELECT sent_id, split, source, trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]+', '', 'g'), '[\t-\r\x1c-\x20\x{85}\p{Z}]+', ' ', 'g')) AS f
                 FROM (SELECT sent_id, split, source, text FROM train UNION ALL SELECT sent_id, split, source, text FROM dev UNION ALL SELECT sent_id, split, source, text FROM test)),
             w AS (SELECT *, string_split(f, ' ') AS l FROM norm WHERE len(string_split(f, ' ')) >= 6),

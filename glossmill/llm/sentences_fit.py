@@ -33,7 +33,7 @@ def annotate(text: str) -> set[int]:
     out = set()
     for at, feats in seen.items():
         head = text[:at]
-        if re.search(r"(?:\r\n|[\n\r\u2028\u2029])\s*(?:\r\n|[\n\r\u2028\u2029])\s*$", head):
+        if re.search(r"(?>\r\n|[\n\r\u2028\u2029])[^\S\n\r\u2028\u2029]*(?>\r\n|[\n\r\u2028\u2029])\s*$", head):
             out.add(at)
             continue
         m = re.search(rf"([{re.escape(MARKS)}]+)([\"'”“»」』)\]]*)(\s*)$", head)
