@@ -13,6 +13,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut
+
 # Letters of other scripts with the shape of a Latin letter (per line: those letters, the Latin ones).
 SAME_SHAPE = (
     ("аеорсухіјѕһԁԛԝӏ", "aeopcyxijshdqwl"),  # Cyrillic small
@@ -85,15 +87,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
     canonical is the smallest text of the class by code points. First the 64-bit fingerprints under which more than one
     text stands are found (two numbers a fingerprint, combined before the shuffle); only those texts are then grouped
-    under the collation.
+    under the collation, by sums and minima that combine before the shuffle, and joined back to their group.
     """
     rows = _visible(docs)
     h = F.xxhash64("text")
     shared = rows.groupBy("fp").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("fp")
     texts = rows.join(shared, "fp", "left_semi").groupBy("text").agg(F.first("skel").alias("skel"), F.first("fp").alias("fp"))
-    c = F.collate("skel", "UNICODE")
-    grouped = texts.groupBy("fp", c.alias("k")).agg(F.collect_set("text").alias("texts")).where(F.size("texts") > 1)
-    return grouped.select(F.explode("texts").alias("text"), F.array_min("texts").alias("canonical"), F.size("texts").alias("members"))
+    texts = cut(texts, "look-alikes")  # few rows, read twice
+    alike = F.collate("skel", "UNICODE")
+    grouped = texts.groupBy(F.col("fp").alias("_fp"), alike.alias("_k")).agg(F.min("text").alias("canonical"), F.count("*").alias("members"))
+    joined = texts.join(grouped.where("members > 1"), (F.col("fp") == F.col("_fp")) & (alike == F.col("_k")))
+    return joined.select("text", "canonical", "members")
 
 
 def normalized(docs: DataFrame) -> DataFrame:
