@@ -32,6 +32,8 @@ GRAM, SPAN = 4, 7
 BITS = 21
 #: Suffixes of one prefix and side that one task may hold; more are spread over several.
 HOT = 50_000
+#: Rows that the broadcast table of hot prefixes may have; on huge corpora HOT is raised to keep to it.
+HOT_ROWS = 200_000
 
 
 def _runs(n: Column) -> Column:
@@ -84,9 +86,10 @@ def _suffixes(records: DataFrame) -> DataFrame:
     # Prefixes with too many suffixes are spread over a grid: each training run goes to one row of it, each evaluation
     # suffix to one column, so every pair meets in exactly one cell.
     both = t.unionByName(e)
-    shares = lambda side: F.greatest(F.ceil(F.count_if(side) / HOT), F.lit(1)).cast("int")
+    limit = max(HOT, records.count() * 10 // HOT_ROWS)  # ten suffixes a record, so the table of hot prefixes stays small
+    shares = lambda side: F.greatest(F.ceil(F.count_if(side) / limit), F.lit(1)).cast("int")
     sizes = both.groupBy("g").agg(shares(~F.col("e")).alias("ts"), shares(F.col("e")).alias("es"))
-    hot = F.broadcast(sizes.where("ts > 1 or es > 1"))  # at most suffixes / HOT rows
+    hot = F.broadcast(sizes.where("ts > 1 or es > 1"))  # fewer than HOT_ROWS rows of three numbers, whatever the corpus
     spread = both.join(hot, "g", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("ts", "es")})
     own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
