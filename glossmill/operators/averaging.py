@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.running import numbered
+from ..plans.shared import broadcast_if_small
 
 
 def vector_mean(vectors: DataFrame, name: str, vector: str, integer: bool = False) -> DataFrame:
@@ -29,7 +30,7 @@ def ema(rows: DataFrame, key: str, order: list[str], value: Column, alpha: float
     """
     nums = numbered(rows.where(value.isNotNull()).select(key, *order, value.cast("double").alias("_v")), order, [key], "_i")
     sizes = nums.groupBy(key).agg(F.max("_i").alias("_last")).withColumnRenamed(key, "_k")
-    both = nums.join(sizes, nums[key].eqNullSafe(sizes["_k"]))
+    both = nums.join(broadcast_if_small(sizes), nums[key].eqNullSafe(sizes["_k"]))
     weight = F.pow(F.lit(1 - alpha), F.col("_last") - F.col("_i")) * F.when(F.col("_i") == 0, 1.0).otherwise(alpha)
     return both.groupBy(key).agg((F.max("_last") + 1).alias("n"), F.sum(F.col("_v") * weight).alias("ema"))
 
