@@ -246,6 +246,26 @@ def test_windows_do_not_change_tags():
     assert pii.tag([text, "x", None, "", text])[4] == alone
 
 
+def test_tags_do_not_depend_on_the_batch(spark, data):
+    texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    whole = pii.tag(texts)
+    assert whole == [pii.tag([t])[0] for t in texts]
+    assert whole == pii.tag(texts[::-1])[::-1]
+
+
+def test_viterbi_of_tags_is_the_best_path():
+    import itertools
+
+    rng = np.random.default_rng(1)
+    lengths = np.array([1, 2, 4, 4])
+    e, t = rng.normal(size=(4, 4, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32)
+    got = pii.viterbi(e, t, lengths)
+    for col, n in enumerate(lengths):
+        value = lambda y: sum(e[i, col, k] for i, k in enumerate(y)) + sum(t[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        best = max(itertools.product(range(3), repeat=int(n)), key=value)
+        assert tuple(got[:n, col]) == best
+
+
 def test_crf_gradient():
     from glossmill.llm import pii_fit
 
