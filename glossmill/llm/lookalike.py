@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut
+from ..plans.shared import broadcast_if_small, cut
 
 # Letters of other scripts with the shape of a Latin letter (per line: those letters, the Latin ones).
 SAME_SHAPE = (
@@ -92,6 +92,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = _visible(docs)
     h = F.xxhash64("text")
     shared = rows.groupBy("fp").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("fp")
+    shared = broadcast_if_small(cut(shared, "look-alike-prints"))  # written, so its size is known; shuffled if it is large
     texts = rows.join(shared, "fp", "left_semi").groupBy("text").agg(F.first("skel").alias("skel"), F.first("fp").alias("fp"))
     texts = cut(texts, "look-alikes")  # few rows, read twice
     alike = F.collate("skel", "UNICODE")
@@ -122,10 +123,13 @@ def found(docs: DataFrame) -> DataFrame:
     Distinct texts of a class are paired first and rows joined after, so copies of one text never meet each other.
     """
     t = classes(docs).select(F.xxhash64("canonical").alias("class"), F.md5("text").alias("t"), "canonical")
+    t = cut(t, "look-alike-classes")
     a = t.select("class", "canonical", F.col("t").alias("ta"))
     b = t.select("class", "canonical", F.col("t").alias("tb"))
     variants = a.join(b, ["class", "canonical"]).where("ta < tb").select("ta", "tb")
-    rows = docs.select("row_id", F.md5("text").alias("t"))
+    rows = docs.select("row_id", F.md5("text").alias("t")).join(broadcast_if_small(t.select("t")), "t", "left_semi")
+    rows = cut(rows, "look-alike-rows")  # only rows of a class with variants
     left = variants.join(rows, variants["ta"] == rows["t"]).select("tb", F.col("row_id").alias("x"))
-    both = left.join(rows, left["tb"] == rows["t"]).select("x", F.col("row_id").alias("y"))
+    other = rows.select(F.col("t").alias("to"), F.col("row_id").alias("y"))
+    both = left.join(other, left["tb"] == other["to"]).select("x", "y")
     return both.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
