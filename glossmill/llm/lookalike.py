@@ -89,11 +89,12 @@ def classes(docs: DataFrame) -> DataFrame:
     text stands are found (two numbers a fingerprint, combined before the shuffle); only those texts are then grouped
     under the collation, by sums and minima that combine before the shuffle, and joined back to their group.
     """
-    rows = _visible(docs)
-    h = F.xxhash64("text")
-    shared = rows.groupBy("fp").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("fp")
-    shared = broadcast_if_small(cut(shared, "look-alike-prints"))  # written, so its size is known; shuffled if it is large
-    texts = rows.join(shared, "fp", "left_semi").groupBy("text").agg(F.first("skel").alias("skel"), F.first("fp").alias("fp"))
+    prints = cut(_visible(docs).select("row_id", "fp", F.xxhash64("text").alias("h")), "look-alike-prints")
+    shared = prints.groupBy("fp").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("fp")
+    ids = cut(prints.join(shared, "fp", "left_semi").select("row_id"), "look-alike-candidates")
+    # Written, so their size is known: texts are filtered where they are if the ids are few, shuffled by them if not.
+    candidates = _visible(docs.select("row_id", "text").join(broadcast_if_small(ids), "row_id", "left_semi"))
+    texts = candidates.groupBy("text").agg(F.first("skel").alias("skel"), F.first("fp").alias("fp"))
     texts = cut(texts, "look-alikes")  # few rows, read twice
     alike = F.collate("skel", "UNICODE")
     grouped = texts.groupBy(F.col("fp").alias("_fp"), alike.alias("_k")).agg(F.min("text").alias("canonical"), F.count("*").alias("members"))
