@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of bytes a side may hold to be broadcast by `broadcast_if_small`.
-BROADCAST_BYTES = 32 * 1024 * 1024
+#: Largest estimate in bytes (of files, compressed) of a side that `broadcast_if_small` lets be broadcast.
+BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def let_workers_import(spark: SparkSession) -> None:
