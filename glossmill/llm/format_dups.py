@@ -164,7 +164,7 @@ def radix_buckets(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Column:
 
 
 def _entries(docs: DataFrame) -> DataFrame:
-    rows = docs.select("row_id", canonical(F.col("text")).cast("binary").alias("key")).where("key is not null")
+    rows = docs.select("row_id", canonical(F.col("text")).cast("binary").alias("key")).where("key is not null and row_id is not null")
     return cut(rows.mapInArrow(_combine, "key binary, copies bigint, entry bigint, ids array<bigint>"), "format-dups")
 
 
@@ -177,7 +177,7 @@ def _groups(entries: DataFrame, bucket_rows: int) -> DataFrame:
 def found(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(keep_id, row_id): each further row of a group with the group's smallest row_id.
 
-    Texts that are null, or hold no letter or digit, belong to no group.
+    Texts that are null, or hold no letter or digit, and rows without an id belong to no group.
     """
     entries = _entries(docs)
     groups = _groups(entries, bucket_rows)

@@ -215,7 +215,7 @@ def _packs(rows: DataFrame, side: int, rep: str, ids: str) -> DataFrame:
 def found(train: DataFrame, *evals: DataFrame) -> DataFrame:
     """(sent_id_a, sent_id_b): every pair of a training row and an evaluation row of six words or more that are nearly equal.
 
-    Null and short texts give no pair. Columns beside sent_id and text are ignored.
+    Null and short texts and rows without an id give no pair. Columns beside sent_id and text are ignored.
     """
     rows = _rows(train, _union(evals))
     e = _pairs(_records(rows)).join(_packs(rows, 2, "e", "es"), "e").select("t", F.explode("es").alias("y"))

@@ -56,6 +56,13 @@ def test_trie_counts():
     assert got == {k: (n, keys.index(k)) for k, n in Counter(keys).items()}
 
 
+def test_rows_without_an_id(spark):
+    rows = spark.createDataFrame([(None, "Labas rytas"), (1, "labas rytas!"), (2, "LABAS RYTAS")], "row_id long, text string")
+    assert [tuple(r) for r in format_dups.found(rows).collect()] == [(1, 2)]
+    t, e = sides(spark, [(None, "vienas du trys keturi penki šeši"), (1, "vienas du trys keturi penki šeši")], [(2, "Vienas du trys keturi penki šeši."), (None, "x")])
+    assert [tuple(r) for r in overlap.found(t, e).collect()] == [(1, 2)]
+
+
 # --- overlaps across splits
 
 
