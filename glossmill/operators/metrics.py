@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
-from ..functions.words import CASE_NAMES, PUNCTUATION_NAMES, labelled, named
+from ..functions.text import is_blank, tokens
+from ..functions.words import CASE_NAMES, PUNCTUATION_NAMES, WORD_CHARS, case_id, named, punctuation_id, split_word
 
 
 def corpus_totals(rows: DataFrame, text: str = "text") -> DataFrame:
     """(sentences, words): lines that aren't blank, and their words with a letter or digit first."""
-    words = F.size(F.filter(labelled(text), lambda w: w["word"] != "")).cast("long")
+    words = F.size(F.filter(tokens(text), lambda t: t.rlike(f"^[{WORD_CHARS}]"))).cast("long")
     kept = rows.where(~is_blank(text))
     return kept.agg(F.count("*").alias("sentences"), F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("words"))
 
@@ -19,8 +19,11 @@ def corpus_totals(rows: DataFrame, text: str = "text") -> DataFrame:
 def distribution(rows: DataFrame, label: str, text: str = "text") -> DataFrame:
     """(name, n, share) of the casing (`case_id`) or punctuation (`punct_id`) labels of all words. share is of all, in per cent."""
     names = CASE_NAMES if label == "case_id" else PUNCTUATION_NAMES
-    words = rows.select(F.explode(labelled(text)).alias("w")).where("w.word <> ''")
-    counts = words.groupBy(F.col(f"w.{label}").alias("label")).agg(F.count("*").alias("n"))
+    # Exploded first: the label is then computed in generated code, and only the one that is asked for.
+    words = rows.select(F.explode(tokens(text)).alias("token")).where(F.col("token").rlike(f"^[{WORD_CHARS}]"))
+    parts = split_word("token")
+    found = case_id(parts["word"]) if label == "case_id" else punctuation_id(parts["punct"])
+    counts = words.groupBy(found.alias("label")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     both = counts.join(F.broadcast(total))  # one row
     return both.select(named("label", names).alias("name"), "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("share"))

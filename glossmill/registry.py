@@ -15,7 +15,7 @@ from .operators import averaging, dataset, metrics, packing, scoring, sentences,
 from .plans import corpus
 from .plans.running import numbered
 from .plans.settings import Settings
-from .plans.shared import shared_dir, spread
+from .plans.shared import once, shared_dir, spread
 from .sources import files
 from .sources.tables import table
 from .streaming import resumable
@@ -82,11 +82,10 @@ def _features(s: SparkSession, d: str) -> DataFrame:
 def _sentence_arrays(s: SparkSession, d: str) -> DataFrame:
     """(sent_id, ids, valid, cases, puncts) of each training sentence, without ends."""
     w = F.filter(F.transform(tokens("text"), lambda t: F.struct(F.lower(wd.split_word(t)["word"]).alias("w"), wd.case_id(wd.split_word(t)["word"]).alias("c"), wd.punctuation_id(wd.split_word(t)["punct"]).alias("p"))), lambda x: x["w"] != "")
-    rows = _train(s, d).where("text is not null").select("sent_id", w.alias("w"))
-    ids = F.transform("w", lambda x: CHUNK.encode(x["w"]))
-    rows = rows.withColumn("i", ids)
+    rows = once(_train(s, d).where("text is not null").select("sent_id", "text"), w=w)
+    rows = once(rows, i=F.transform("w", lambda x: CHUNK.encode(x["w"])))
     flags = F.flatten(F.transform("i", packing.valid_flags))
-    return rows.select("sent_id", F.flatten("i").alias("ids"), flags.alias("valid"), F.transform("w", lambda x: x["c"]).alias("cases"), F.transform("w", lambda x: x["p"]).alias("puncts"))
+    return once(rows.select("sent_id", "w", "i"), ids=F.flatten("i"), valid=flags, cases=F.transform("w", lambda x: x["c"]), puncts=F.transform("w", lambda x: x["p"])).drop("w", "i")
 
 
 def _text(a) -> F.Column:
