@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.shared import cut
+from ..plans.shared import broadcast_if_small, cut
 from .format_dups import folded
 
 #: Words a text must have; one word in so many may be edited.
@@ -201,8 +201,12 @@ def _pairs(records: DataFrame) -> DataFrame:
     """(t, e): the reps of all near-equal (or equal) pairs of distinct training and evaluation word sequences."""
     ordered = _suffixes(records).repartition("g", "share").sortWithinPartitions("g", "share", "x")
     spans = ordered.mapInArrow(_scan, "t bigint, e bigint, len int").groupBy("t", "e").agg(F.sum("len").alias("covered"))
-    side = lambda c: records.select(F.col("id").alias(c), _rep().alias(f"{c}_rep"), F.col("folded").alias(f"{c}_text"))
-    both = spans.where(f"covered >= {GRAM}").join(side("t"), "t").join(side("e"), "e")
+    spans = cut(spans.where(f"covered >= {GRAM}"), "overlap-spans")
+    # Only sequences of some pair take part in the comparison; if they are few, the others are left where they are.
+    ids = spans.select(F.explode(F.array("t", "e")).alias("id")).distinct()
+    kept = records.join(broadcast_if_small(ids), "id", "left_semi")
+    side = lambda c: kept.select(F.col("id").alias(c), _rep().alias(f"{c}_rep"), F.col("folded").alias(f"{c}_text"))
+    both = spans.join(side("t"), "t").join(side("e"), "e")
     near = F.pandas_udf(_near, T.BooleanType())
     return both.where(near("t_text", "e_text")).select(F.col("t_rep").alias("t"), F.col("e_rep").alias("e"))
 
