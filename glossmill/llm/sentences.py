@@ -1,17 +1,18 @@
 """Sentence boundaries in many languages and scripts.
 
 Each character is tagged as the first of a sentence or as inside one, by a linear-chain model with Viterbi decoding.
-Only a character after a sentence mark, a line break, a gap in a script without marks, or (in a text without any mark)
-a gap before a capital can be a first one, so scores are computed there and everywhere else the tag is fixed. The
-weights were learned by `sentences_fit` from marked text and from the same text with its marks stripped or its case
-changed; they are read from `sentences_model.json`.
+Only a character after a sentence mark, a line break, a gap in a script without marks, a gap before a capital, or any
+gap in a stretch without a sentence-final mark can be a first one, so scores are computed there and everywhere else the
+tag is fixed. The weights were learned by `sentences_fit` from marked text and from the same text with all or most of
+its marks stripped or its case changed; they are read from `sentences_model.json`.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
+import sys
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from pathlib import Path
 
@@ -30,15 +31,36 @@ DASHES = "-–—―"
 _BREAK = re.compile(r"\r\n|[\n\r\u2028\u2029]")
 _CLOSE, _OPEN = "\"'”»」』)]’", "\"'«「『([„‚"
 _WORD = re.compile(r"\S+")
+#: A mark that can end a sentence: white space or the text's end follows, and more than one letter or digit comes before.
+_FINAL = re.compile(rf"[。！？।։؟]|(?<!\b\w)[.!?…]+[{re.escape(_CLOSE + '“')}]*(?=\s|$)")
+#: Characters between two such marks from which on every gap between them may begin a sentence.
+STRETCH = 240
 
 
-@lru_cache(maxsize=4)
-def _candidates(low_quotes: bool, marked: bool) -> re.Pattern:
+def _upper() -> str:
+    """Capitals as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if chr(c).isupper() or chr(c).istitle():
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in out)
+
+
+_CAPITAL = rf"(?:[{re.escape(_OPEN + '“' + DASHES)}]\s*){{0,4}}[{_upper()}]"
+_AT_CAPITAL = re.compile(_CAPITAL)
+
+
+@lru_cache(maxsize=8)
+def _candidates(low_quotes: bool, gaps: str) -> re.Pattern:
+    """gaps: `all`, those before a `capital`, or `none` but breaks and those of scripts without marks."""
     close = re.escape(_CLOSE + ("“" if low_quotes else ""))
     marks = re.escape(MARKS)
     kinds = [rf"[{marks}](?:[{marks}]|[{close}])*\s*", r"\s*[\n\r\u2028\u2029]\s*", rf"(?<=[{GAPPED}])\s+|\s+(?=[{GAPPED}])"]
-    if not marked:
-        kinds.append(r"\s+")
+    if gaps != "none":
+        kinds.append(r"\s+" if gaps == "all" else rf"\s+(?={_CAPITAL})")
     return re.compile("|".join(kinds))
 
 
@@ -92,21 +114,39 @@ def _after(text: str, at: int) -> str:
     return before + kind
 
 
+def _far(n: int) -> str:
+    return "0" if n < 40 else "1" if n < 120 else "2" if n < STRETCH else "3" if n < 600 else "4"
+
+
+def _capitals(text: str, begin: int, head: int, at: int) -> str:
+    """Whether the words before a gap, after it and next to that one have a capital: names often have two in a row."""
+    words = [text[begin:head], *text[at : at + 40].split(None, 2)[:2]]
+    return "".join("C" if w.lstrip("\"'„“«([「")[:1].isupper() else "c" for w in words)
+
+
 def observed(text: str) -> list[tuple[int, list[str]]]:
     """The offsets that may begin a sentence, with what the model sees there; the text's first one isn't among them."""
     low_quotes = "„" in text
-    marked = any(c in MARKS for c in text)
+    finals = [m.start() for m in _FINAL.finditer(text)]
+    edges = [0, *finals, len(text)]
+    dense = "none" if not finals else _far(len(text) // len(finals))
+    every = not finals or max(b - a for a, b in zip(edges, edges[1:])) >= STRETCH
     case = "none" if text.lower() == text else "all" if text.upper() == text and any(c.isupper() for c in text) else "mixed"
     spans = _spans(text, low_quotes)
     ends = [e for _, e in spans]
     first = len(text) - len(text.lstrip())
     out = []
-    for m in _candidates(low_quotes, marked).finditer(text):
+    for m in _candidates(low_quotes, "all" if every else "capital" if case == "mixed" else "none").finditer(text):
         at = m.end()
         if at >= len(text) or m.start() < first or at == first:
             continue
         got = m[0]
         marks = got.rstrip()
+        k = bisect_right(finals, at)
+        back, ahead = at - edges[k], edges[k + 1] - at
+        if every and not marks and finals and back + ahead < STRETCH and not _BREAK.search(got) and not (case == "mixed" and _AT_CAPITAL.match(text, at)):
+            if not re.match(f"[{GAPPED}]", text[at]) and not re.match(f"[{GAPPED}]", text[m.start() - 1 : m.start()]):
+                continue
         gap = got[len(marks) :]
         breaks = len(_BREAK.findall(gap))
         gap_kind = "blank" if breaks > 1 else "line" if breaks else "space" if gap else "none"
@@ -152,7 +192,8 @@ def observed(text: str) -> list[tuple[int, list[str]]]:
                     f"p={prior if len(prior) < 4 else 'w'},{token if len(token) < 4 else 'w'},{nxt}" if mark == "." else f"p,{mark}",
                     f"w={word},{shape}" if mark == "." and shape in ("digit", "one", "initial") else f"w,{mark},{shape}",
                     f"b={gap_kind == 'blank'},{mark != ''},{nxt}",
-                    f"u={marked},{nxt},{gap_kind},{case},{cased}" if not mark else "u",
+                    f"u={dense},{nxt},{gap_kind},{case},{cased}" if not mark else "u",
+                    *([] if mark else [f"d={_far(back)},{_far(ahead)},{dense},{nxt}", f"s={_far(back + ahead)},{nxt},{case}", f"x={word},{nxt},{case}", f"y={token[-5:]},{nxt},{case}", f"z={shape},{_capitals(text, begin, head, at)},{nxt},{case}"]),
                 ],
             )
         )

@@ -5,7 +5,8 @@
 The texts are at most TEXTS rows of parquet_keeper in FOLDER with sentence marks in almost every line. `annotate` marks
 their sentences by the conventions for clean text; its output was read through by hand and corrected until none of
 a few hundred texts was wrong. Each text is learned as it is and in copies that carry its sentences over to harder
-forms: lower case, capitals, marks stripped, other gaps. Stripped copies are what teaches text without marks.
+forms: lower case, capitals, marks stripped, other gaps. Stripped copies are what teaches text without marks; most keep
+what stands inside web addresses, decimals and abbreviations, and some keep a few of the real marks.
 """
 
 from __future__ import annotations
@@ -82,20 +83,41 @@ def annotate(text: str) -> set[int]:
     return out
 
 
+#: Matter with inner marks that is put into some stripped copies.
+INNER = ["www.lrs.lt", "https://example.org/a.html", "info@example.com", "3.5", "12.750", "2.0.1", "e.g.", "m.in.", "10:30", "U.S.A", "index.php?id=4"]
+
+
+def stripped(text: str, at: set[int], rng: random.Random) -> tuple[str, set[int]]:
+    """The text without its marks, or without all but those inside words and after abbreviations, or with a few left."""
+    inner, left = rng.random() < 0.5, rng.choice([0.0, 0.0, 0.0, 0.2])
+    add = rng.choice([m.end() for m in re.finditer(r"(?<=[^\W\d_]) (?=[^\W\d_])", text) if m.end() not in at] or [-1]) if inner and rng.random() < 0.5 else -1
+    out, new, keep = [], set(), False
+    for i, c in enumerate(text):
+        if i in at:
+            new.add(len(out))
+        if i == add:
+            out.extend(rng.choice(INNER) + " ")
+        if c not in MARKS + ",;:\"“”„«»":
+            out.append(c)
+            continue
+        if c in MARKS and not (i and text[i - 1] in MARKS):  # a run of marks stays or goes as one
+            ends = re.match(rf"[{re.escape(MARKS)}]+[\"'”“»」』)\]]*\s*", text[i:]).end() + i
+            token = re.search(r"[^\s\"'„“«(\[「]*$", text[max(0, i - 12) : i])[0].lower()
+            real = ends in at or ends >= len(text)
+            keep = rng.random() < left if real else inner and (text[i + 1 : i + 2].isalnum() or token in TITLES or len(token) == 1)
+        if c in MARKS and keep or c in ",:" and inner and text[i - 1 : i].isalnum() and text[i + 1 : i + 2].isalnum() or c == ":" and inner and text[i + 1 : i + 3] == "//":
+            out.append(c)
+    return "".join(out), {i for i in new if i < len(out)}
+
+
 def copies(text: str, at: set[int], rng: random.Random):
     """(text, first characters) as it is and in harder forms."""
     yield text, at
     for change in (str.lower, str.upper):
         if len(change(text)) == len(text) and change(text) != text and rng.random() < 0.3:
             yield change(text), at
-    if re.search(r"[A-Za-zА-я]", text) and rng.random() < 0.25:  # marks stripped
-        out, new = [], set()
-        for i, c in enumerate(text):
-            if i in at:
-                new.add(len(out))
-            if c not in MARKS + ",;:\"“”„«»":
-                out.append(c)
-        yield "".join(out), {i for i in new if i < len(out)}
+    if re.search(r"[A-Za-zА-я]", text) and rng.random() < 0.8:
+        yield stripped(text, at, rng)
     if rng.random() < 0.3:  # other gaps
         out, new = [], set()
         for i, c in enumerate(text):

@@ -166,6 +166,22 @@ def test_sentence_starts(text):
     assert sentences.starts(plain) == at
 
 
+@pytest.mark.parametrize("inner", ["3.5", "www.lrs.lt", "https://example.org/a.html", "2.0.1", "m.in."])
+def test_texts_that_lost_their_marks_keep_their_sentences(inner):
+    text = f"Vakar miestas pastatė {inner} mokyklos Ar valdžia atsakė vaikams Kodėl upė teka žemyn"
+    got = sentences.starts(text)
+    assert got == [0, text.index("Ar "), text.index("Kodėl")]
+    one_mark = text.replace("mokyklos Ar", "mokyklos. Ar")
+    assert one_mark.index("Kodėl") in sentences.starts(one_mark)
+
+
+def test_gaps_before_capitals_and_in_long_stretches_are_candidates():
+    text = "Vienas sakinys čia. Kitas be žymės Trečias " + "be galo ir be krašto " * 20
+    at = {a for a, _ in sentences.observed(text)}
+    assert {text.index("Kitas"), text.index("Trečias")} <= at
+    assert text.rindex("be krašto") in at and text.index("sakinys") not in {a for a, _ in sentences.observed(text[:42] + ".")}
+
+
 def test_sentence_table(spark):
     docs = keeper(spark, "  Vienas. Du.", None, "", " \n ", LONG)
     got = [tuple(r) for r in sentences.sentences(docs).where("row_id < 4").collect()]
