@@ -46,12 +46,13 @@ def _ligatures() -> dict[str, str]:
 
 
 def _bases() -> tuple[str, str]:
-    """Letters with accents and their bare letters, from Unicode's own decompositions."""
+    """Characters with another canonical decomposition and what stays of it without marks and without the vowels and finals
+    of Hangul, from Unicode's own decompositions."""
     pairs = []
-    for c in map(chr, range(0xC0, min(sys.maxunicode, 0xFFFF))):
+    for c in map(chr, (*range(0xC0, 0xD800), *range(0xE000, sys.maxunicode + 1))):
         d = unicodedata.normalize("NFD", c)
-        if len(d) > 1 and not unicodedata.combining(d[0]) and all(unicodedata.category(x)[0] == "M" for x in d[1:]):
-            pairs.append((c, d[0]))
+        if d != c and unicodedata.category(c)[0] != "M":
+            pairs.append((c, next(x for x in d if unicodedata.category(x)[0] != "M")))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -70,10 +71,11 @@ def skeleton(text: Column) -> Column:
 def fingerprint(skel: Column) -> Column:
     """64 bits that are equal for skeletons equal under the collation; it ignores accents, so it only narrows the search.
 
-    What the collation itself ignores (control characters) is left out as well.
+    What the collation itself ignores (control characters) is left out as well, and so are the vowels and finals of Hangul,
+    as a syllable counts by its first consonant.
     """
     a, b = _bases()
-    return F.xxhash64(F.regexp_replace(F.translate(skel, a, b), r"[\p{M}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]", ""))
+    return F.xxhash64(F.regexp_replace(F.translate(skel, a, b), r"[\p{M}\x{1160}-\x{11ff}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]", ""))
 
 
 def _visible(docs: DataFrame) -> DataFrame:

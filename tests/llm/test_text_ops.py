@@ -137,6 +137,20 @@ def test_mixture_is_fitted_by_em():
     assert (got == np.array(kinds)).mean() > 0.98
 
 
+def test_canonical_equivalents_of_all_scripts_look_the_same(spark):
+    pairs = [
+        ("한국어 말", "\u1112\u1161\u11ab\u1100\u116e\u11a8\u110b\u1165 \u1106\u1161\u11af"),
+        ("각", "\uac00\u11a8"),
+        ("5 \u2126", "5 \u03a9"),
+        ("3 \u212a", "3 K"),
+        ("\uf900 x", "\u8c48 x"),
+        ("\U0002f800 y", "\u4e3d y"),
+        ("\U0001109a", "\U00011099\U000110ba"),
+    ]
+    got = sorted(tuple(r) for r in lookalike.found(keeper(spark, *(t for p in pairs for t in p), "한국아 말")).collect())
+    assert got == [(2 * i, 2 * i + 1) for i in range(len(pairs))]
+
+
 # --- sentences
 
 
