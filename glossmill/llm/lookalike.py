@@ -1,8 +1,8 @@
 """One consistent form for texts that look the same.
 
 Look-alikes are mapped with built-in string functions, the mapped values are grouped under the accent-sensitive
-`UNICODE` collation (which knows composed from combining accents), and each class gets its smallest text as the
-canonical member, joined back to every row.
+`UNICODE` collation (which knows composed from combining accents), and each class gets one of its texts as the canonical
+member, joined back to every row. Texts that stand alone keep their letters, whatever their script.
 """
 
 from __future__ import annotations
@@ -10,20 +10,25 @@ from __future__ import annotations
 import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.shared import broadcast_if_small, cut
 
 # Letters of other scripts with the shape of a Latin letter (per line: those letters, the Latin ones).
 SAME_SHAPE = (
-    ("аеорсухіјѕһԁԛԝӏ", "aeopcyxijshdqwl"),  # Cyrillic small
-    ("АВЕКМНОРСТУХІЈЅԌԚԜҮӀ", "ABEKMHOPCTYXIJSGQWYI"),  # Cyrillic capital
+    ("аеорсухіјѕһԁԛԝӏѵ", "aeopcyxijshdqwlv"),  # Cyrillic small
+    ("АВЕКМНОРСТУХІЈЅԌԚԜҮӀѴ", "ABEKMHOPCTYXIJSGQWYIV"),  # Cyrillic capital
     ("ЁёЇї", "ËëÏï"),  # Cyrillic with diaeresis
     ("ονραιυγϲϳ", "ovpaiuycj"),  # Greek small
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capital
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),  # Greek capital
     ("օոսհցզյ", "onuhgqj"),  # Armenian small
     ("ՕՍՏ", "OUS"),  # Armenian capital
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),  # Cherokee
+    ("ⲞⲟⲢⲣⲤⲥⲦⲬⲭ", "OoPpCcTXx"),  # Coptic
+    ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm"),  # numerals of one letter
     ("ɑɡ", "ag"),  # phonetic letters
     ("\u2010\u2011\ufe63\u2043", "----"),  # kinds of hyphen
     ("\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " " * 16),  # kinds of space
@@ -32,6 +37,10 @@ SAME_SHAPE = (
 INVISIBLE = r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200c\u200e\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0"
 #: A joiner between pictures makes one picture of two, so it stays there (as this private character).
 JOINER, KEPT = "\u200d", "\ue000"
+#: Scripts with letters in the shape of Latin ones; a word of both is no word of either.
+_OTHERS = r"\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}\p{IsCoptic}"
+#: Where a text of this many rows may lie apart, so that no copy of a frequent text meets all others in one task.
+SALTS = 16
 
 
 def _wide() -> tuple[str, str]:
@@ -78,6 +87,22 @@ def fingerprint(skel: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.translate(skel, a, b), r"[\p{M}\x{1160}-\x{11ff}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]", ""))
 
 
+def oddness(text: Column) -> Column:
+    """How unusually a text is written, so that the canonical member of a class is its plainest one: 4 for a word that mixes
+    scripts, 2 for invisible characters, wide forms, ligatures, unusual spaces and hyphens, 1 for combining marks."""
+    odd = "".join(_ligatures()) + "".join(a for a, _ in SAME_SHAPE[-2:]) + SAME_SHAPE[9][0] + _wide()[0]
+    bit = lambda pattern, n: F.when(text.rlike(pattern), n).otherwise(0)
+    mixed = rf"\p{{IsLatin}}\p{{M}}*[{_OTHERS}]|[{_OTHERS}]\p{{M}}*\p{{IsLatin}}"
+    return bit(mixed, 4) + bit(f"[{odd}{INVISIBLE}{JOINER}]", 2) + bit(r"\p{M}", 1)
+
+
+def composed(text: Column) -> Column:
+    """The text with composed accents. Only texts with something to compose leave the JVM."""
+    some = text.rlike(r"[\p{M}\x{1100}-\x{11ff}\x{2126}\x{212a}\x{212b}\x{f900}-\x{faff}\x{2f800}-\x{2fa1f}]")
+    nfc = F.pandas_udf(lambda s: pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in s], dtype=object), T.StringType())
+    return F.coalesce(nfc(F.when(some, text)), text)
+
+
 def _visible(docs: DataFrame) -> DataFrame:
     """Rows with something to see, with their skeleton and its fingerprint."""
     rows = docs.select("row_id", "text").where(F.col("text").rlike(r"[^\t-\r\x1c-\x20\x85\p{Z}]"))
@@ -87,9 +112,10 @@ def _visible(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(text, canonical, members): each distinct text of a look-alike class of two or more distinct texts.
 
-    canonical is the smallest text of the class by code points. First the 64-bit fingerprints under which more than one
-    text stands are found (two numbers a fingerprint, combined before the shuffle); only those texts are then grouped
-    under the collation, by sums and minima that combine before the shuffle, and joined back to their group.
+    canonical is the plainest text of the class (`oddness`), of equally plain ones the smallest by code points. First the
+    64-bit fingerprints under which more than one text stands are found (two numbers a fingerprint, combined before the
+    shuffle); only those texts are then grouped under the collation, by sums and minima that combine before the shuffle,
+    and joined back to their group.
     """
     prints = cut(_visible(docs).select("row_id", "fp", F.xxhash64("text").alias("h")), "look-alike-prints")
     shared = prints.groupBy("fp").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("fp")
@@ -97,42 +123,65 @@ def classes(docs: DataFrame) -> DataFrame:
     # Written, so their size is known: texts are filtered where they are if the ids are few, shuffled by them if not.
     candidates = _visible(docs.select("row_id", "text").join(broadcast_if_small(ids), "row_id", "left_semi"))
     texts = candidates.groupBy("text").agg(F.first("skel").alias("skel"), F.first("fp").alias("fp"))
-    texts = cut(texts, "look-alikes")  # few rows, read twice
+    texts = cut(texts.withColumn("odd", oddness(F.col("text"))), "look-alikes")  # few rows, read twice
     alike = F.collate("skel", "UNICODE")
-    grouped = texts.groupBy(F.col("fp").alias("_fp"), alike.alias("_k")).agg(F.min("text").alias("canonical"), F.count("*").alias("members"))
+    plainest = F.min(F.struct("odd", "text"))["text"]
+    grouped = texts.groupBy(F.col("fp").alias("_fp"), alike.alias("_k")).agg(plainest.alias("canonical"), F.count("*").alias("members"))
     joined = texts.join(grouped.where("members > 1"), (F.col("fp") == F.col("_fp")) & (alike == F.col("_k")))
     return joined.select("text", "canonical", "members")
 
 
+def _with_class(rows: DataFrame, member: DataFrame, how: str) -> DataFrame:
+    """Rows with what `member` says of their text's digest `t`. If member is too large to be sent to every task, the copies of
+    a text are spread over SALTS tasks."""
+    small = broadcast_if_small(member)
+    if small is not member:
+        return rows.join(small, "t", how)
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    spread = member.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["t", "_s"], how).drop("_s")
+
+
 def normalized(docs: DataFrame) -> DataFrame:
-    """(row_id, text, is_changed): each row in the one form of its class, in the mapped form where it stands alone.
+    """(row_id, text, is_changed): each row as the canonical member of its class, or as itself where it stands alone; either
+    way with composed accents.
 
-    Null, empty and blank texts come out as they are. Rows of one class become equal; others stay different, as
-    a text that stands alone under its collation key keeps its own mapped form.
+    Null, empty and blank texts come out as they are. Rows of one class become equal; others stay different.
     """
-    t = classes(docs)
-    member = t.select(F.col("text").alias("_t"), F.col("canonical"))
-    rows = docs.select("row_id", "text")
-    joined = rows.join(member, rows["text"] == member["_t"], "left")
-    out = F.when(F.col("canonical").isNotNull(), skeleton(F.col("canonical"))).otherwise(skeleton(F.col("text")))
-    return joined.select("row_id", out.alias("_out"), F.col("text").alias("_in")).select(
+    member = cut(classes(docs).where("text <> canonical").select(F.unhex(F.md5("text")).alias("t"), "canonical"), "look-alike-members")
+    rows = docs.select("row_id", "text", F.coalesce(F.unhex(F.md5("text")), F.unhex(F.md5(F.col("row_id").cast("string")))).alias("t"))
+    out = composed(F.coalesce("canonical", "text"))
+    return _with_class(rows, member, "left").select("row_id", out.alias("_out"), F.col("text").alias("_in")).select(
         "row_id", F.col("_out").alias("text"), (~F.col("_out").eqNullSafe(F.col("_in"))).alias("is_changed")
     )
 
 
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t, class): the digests of the texts of classes; (row_id, t, class): the rows that have them."""
+    t = cut(classes(docs).select(F.unhex(F.md5("text")).alias("t"), F.unhex(F.md5("canonical")).alias("class")), "look-alike-classes")
+    rows = docs.select("row_id", F.unhex(F.md5("text")).alias("t")).where("t is not null and row_id is not null")
+    return t, cut(_with_class(rows, t, "inner"), "look-alike-rows")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """(row_id, class_id, links): one row for each row that looks like a row of another text; class_id is the smallest row_id
+    of its class, links the number of rows it looks like but differs from. Grows with the rows, not with their pairs."""
+    _, rows = _members(docs)
+    per = rows.groupBy("class", "t").agg(F.count("*").alias("n"), F.min("row_id").alias("least"))
+    both = per.groupBy("class").agg(F.sum("n").alias("all"), F.min("least").alias("class_id"))
+    text = cut(per.join(both, "class").select("t", "class_id", (F.col("all") - F.col("n")).alias("links")), "look-alike-links")
+    return _with_class(rows.select("row_id", "t"), text, "inner").select("row_id", "class_id", "links")
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """(row_id_a, row_id_b): all pairs of rows of one class whose texts differ.
+    """(row_id_a, row_id_b): all pairs of rows of one class whose texts differ; `linked` says the same without pairs.
 
-    Distinct texts of a class are paired first and rows joined after, so copies of one text never meet each other.
+    Distinct texts of a class are paired first and rows joined after, so copies of one text never meet each other, and rows
+    of a text come in packs of one input partition, so that no text's rows are gathered in one task.
     """
-    t = classes(docs).select(F.xxhash64("canonical").alias("class"), F.md5("text").alias("t"), "canonical")
-    t = cut(t, "look-alike-classes")
-    a = t.select("class", "canonical", F.col("t").alias("ta"))
-    b = t.select("class", "canonical", F.col("t").alias("tb"))
-    variants = a.join(b, ["class", "canonical"]).where("ta < tb").select("ta", "tb")
-    rows = docs.select("row_id", F.md5("text").alias("t")).join(broadcast_if_small(t.select("t")), "t", "left_semi")
-    rows = cut(rows, "look-alike-rows")  # only rows of a class with variants
-    left = variants.join(rows, variants["ta"] == rows["t"]).select("tb", F.col("row_id").alias("x"))
-    other = rows.select(F.col("t").alias("to"), F.col("row_id").alias("y"))
-    both = left.join(other, left["tb"] == other["to"]).select("x", "y")
+    t, rows = _members(docs)
+    variants = t.join(t.select("class", F.col("t").alias("u")), "class").where("t < u").select("t", "u")
+    packs = rows.groupBy("t", F.spark_partition_id().alias("part")).agg(F.collect_list("row_id").alias("ids")).drop("part")
+    left = variants.join(packs, "t").select("u", F.explode("ids").alias("x"))
+    both = left.join(packs.select(F.col("t").alias("u"), F.col("ids").alias("others")), "u").select("x", F.explode("others").alias("y"))
     return both.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
