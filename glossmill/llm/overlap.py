@@ -1,22 +1,23 @@
 """Records of evaluation splits that also stand, exactly or nearly, in the training split.
 
-Distinct word sequences stand for all their rows. Suffixes (of at most SPAN words) of both sides are partitioned by
-their first GRAM words and sorted, which gives a partitioned suffix array. Where a run of a training text and an
-evaluation suffix, neighbours in it, have a common prefix as long as the run, the span is shared; spans are merged into
-the coverage of each pair of records, and covered pairs get an exact word edit distance.
-
-Why no pair is lost: at most k = (words of the longer text) // 8 edits leave, of any cut of the training text into
-k + 1 runs, one run untouched and moved by at most k words. So runs stand for training texts, all suffixes for the
-(fewer) evaluation texts.
+Distinct word sequences stand for all their rows; those on both sides are equal. For the others, the suffixes of both
+sides, one at every word, are partitioned and sorted by their first GRAM words and merged: neighbours of different sides
+have a common prefix. A training text keeps those of its suffixes that have such a neighbour, and looks up as many disjoint
+ones as must be untouched for a near-equal partner, those with the fewest neighbours. The pairs found this way get all
+their common runs of GRAM words or more, of any length, which are merged into the coverage of the evaluation record; pairs
+that cover too little are rejected, the others compared by an exact word edit distance.
+
+Why no pair is lost: near-equal texts differ by at most k = (words of the longer text) // 8 edits. Of k + 1 disjoint runs
+of the training text one is untouched, and moved by at most k words. As the runs may lie anywhere, a beginning that many
+texts share is looked up only where a text has no other run. Texts of seven or eight words, which leave no choice,
+are found by their forms with one word left out instead. The words that stay in place make at most k + 1 runs, so a
+near-equal record of m words is covered by m - 4k words or more (where that is at least GRAM).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,23 +27,10 @@ from .format_dups import folded
 
 #: Words a text must have; one word in so many may be edited.
 LEAST_WORDS, ONE_IN = 6, 8
-#: Words by which suffixes are partitioned, and words a suffix keeps (no run that is looked up is longer).
-GRAM, SPAN = 4, 7
-#: Bits that stand for each further word of a suffix.
-BITS = 21
-#: Suffixes of one prefix and side that one task may hold; more are spread over several.
-HOT = 50_000
-#: Rows that the broadcast table of hot prefixes may have; on huge corpora HOT is raised to keep to it.
-HOT_ROWS = 200_000
-
-
-def _runs(n: Column) -> Column:
-    """(start, length) of the runs of a training text of n words to look up; together they cover the text."""
-    short = F.transform(F.sequence(F.lit(0), n - GRAM), lambda s: F.struct(s.alias("s"), F.lit(GRAM).alias("len")))
-    k = F.floor(n / (ONE_IN - 1)).cast("int") + 1
-    start = lambda i: F.floor(i * n / k).cast("int")
-    long = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(start(i).alias("s"), F.least(start(i + 1) - start(i), F.lit(SPAN)).alias("len")))
-    return F.when(n < ONE_IN, short).otherwise(long)
+#: Words by which suffixes are partitioned and compared first; the least length of a shared span.
+GRAM = 4
+#: Texts of up to so many words are found by their forms with one word left out.
+SHORT = 8
 
 
 def _rows(train: DataFrame, evals: DataFrame) -> DataFrame:
@@ -63,101 +51,79 @@ def _records(rows: DataFrame) -> DataFrame:
     return cut(reps.select(F.monotonically_increasing_id().alias("id"), "folded", F.size(F.split("folded", " ")).alias("n"), "side"), "overlap")
 
 
-def _suffixes(records: DataFrame) -> DataFrame:
-    """Runs of training texts and all suffixes of evaluation texts: (g, share, x, id, info), info packing n, at, len and e.
-
-    g hashes the first GRAM words; x holds BITS bits for each further word up to SPAN, so (g, x) is the suffix order and
-    a common prefix of x is a common prefix of the suffixes.
-    """
-
-    def laid(rows: DataFrame, at: Column, length: Column, is_e: bool) -> DataFrame:
-        word = lambda i: F.when(F.col("n") > at + i, F.xxhash64(F.get(F.col("w"), at + i)).bitwiseAND((1 << BITS) - 1)).otherwise(F.lit(0).cast("long"))
-        x = F.lit(0).cast("long")
-        for i in range(GRAM, SPAN):
-            x = x.bitwiseOR(F.shiftleft(word(i), BITS * (SPAN - 1 - i)))
-        g = F.xxhash64(*[F.get(F.col("w"), at + i) for i in range(GRAM)])
-        return rows.select(g.alias("g"), x.alias("x"), F.lit(is_e).alias("e"), "id", F.col("n"), at.alias("at"), length.alias("len"))
-
+def _windows(records: DataFrame) -> DataFrame:
+    """(id, n, at, g): every suffix of GRAM words or more, g being the hash of its first GRAM words."""
+    w = records.select("id", "n", F.split("folded", " ").alias("w"))
+    s = w.select("id", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - GRAM)).alias("at"))
+    return s.select("id", "n", "at", F.xxhash64(*[F.get("w", F.col("at") + i) for i in range(GRAM)]).alias("g"))
+
+
+def cheapest(n: int, cost: dict[int, int]) -> list[int]:
+    """Where to look up a text of n words: of the sets of n // 7 + 1 disjoint windows of GRAM words, the one with the
+    fewest neighbours; `cost` has the neighbours of the windows that have any. Windows without any are left out."""
+    wanted = n // (ONE_IN - 1) + 1
+    last = n - GRAM + 1
+    best = np.full((wanted + 1, n + 1), np.iinfo(np.int64).max // 4)  # windows chosen so far, words passed
+    best[0] = 0
+    take = np.zeros((wanted + 1, n + 1), bool)
+    for j in range(1, wanted + 1):
+        for end in range(GRAM * j, n + 1):
+            one = best[j - 1, end - GRAM] + cost.get(end - GRAM, 0)
+            take[j, end] = one < best[j, end - 1]
+            best[j, end] = min(one, best[j, end - 1])
+    out, end, j = [], n, wanted
+    while j:
+        if take[j, end]:
+            end, j = end - GRAM, j - 1
+            if end < last and cost.get(end):
+                out.append(end)
+        else:
+            end -= 1
+    return out[::-1]
+
+
+def _chosen(n: pd.Series, at: pd.Series, cost: pd.Series) -> pd.Series:
+    return pd.Series([cheapest(int(k), dict(zip(map(int, a), map(int, c)))) for k, a, c in zip(n, at, cost)])
+
+
+def _near_windows(records: DataFrame) -> DataFrame:
+    """(t, e): pairs of different texts with a common run at about the same place, by the merged suffixes of both sides."""
+    e = cut(_windows(records.where(f"side >= 2 and n >= {SHORT}")), "overlap-suffixes")
+    counts = e.groupBy("g").agg(F.count("*").alias("cost"))
+    t = _windows(records.where(f"side in (1, 3) and n > {SHORT}"))
+    # Both sides lie sorted by g; only suffixes with a neighbour of the other side remain. A g that many training texts
+    # share meets one row of `counts`, so its partition can be split anywhere.
+    met = t.join(counts.hint("merge"), "g").groupBy("id", "n").agg(F.collect_list(F.struct("at", "cost", "g")).alias("m"))
+    at = F.pandas_udf(_chosen, T.ArrayType(T.IntegerType()))("n", F.transform("m", lambda x: x["at"]), F.transform("m", lambda x: x["cost"]))
+    chosen = met.select("id", "n", "m", at.alias("keep")).where(F.size("keep") > 0)
+    chosen = chosen.select(F.col("id").alias("t"), F.col("n").alias("tn"), F.explode(F.filter("m", lambda x: F.array_contains("keep", x["at"]))).alias("m"))
+    both = chosen.select("t", "tn", F.col("m.at").alias("ta"), F.col("m.g").alias("g")).join(e, "g")
+    k = F.floor(F.greatest("tn", "n") / ONE_IN)
+    return both.where((F.abs(F.col("tn") - F.col("n")) <= k) & (F.abs(F.col("ta") - F.col("at")) <= k) & (F.col("t") != F.col("id"))).select("t", F.col("id").alias("e"))
+
+
+def _near_short(records: DataFrame) -> DataFrame:
+    """(t, e): pairs of different texts, the training text of at most SHORT words, that may be one edit apart."""
     w = F.split("folded", " ")
-    t = records.where("side in (1, 3)").select("id", "n", w.alias("w"), F.explode(_runs(F.col("n"))).alias("r"))
-    t = laid(t, F.col("r.s"), F.col("r.len"), False)
-    e = records.where("side >= 2").select("id", "n", w.alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - GRAM)).alias("s"))
-    e = laid(e, F.col("s"), F.lit(0), True)
-    # Prefixes with too many suffixes are spread over a grid: each training run goes to one row of it, each evaluation
-    # suffix to one column, so every pair meets in exactly one cell.
-    both = t.unionByName(e)
-    limit = max(HOT, records.count() * 10 // HOT_ROWS)  # ten suffixes a record, so the table of hot prefixes stays small
-    shares = lambda side: F.greatest(F.ceil(F.count_if(side) / limit), F.lit(1)).cast("int")
-    sizes = both.groupBy("g").agg(shares(~F.col("e")).alias("ts"), shares(F.col("e")).alias("es"))
-    hot = F.broadcast(sizes.where("ts > 1 or es > 1"))  # fewer than HOT_ROWS rows of three numbers, whatever the corpus
-    spread = both.join(hot, "g", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("ts", "es")})
-    own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    spread = spread.withColumn("row", F.explode(F.when(F.col("e"), every("ts")).otherwise(own("ts"))))
-    spread = spread.withColumn("col", F.explode(F.when(F.col("e"), own("es")).otherwise(every("es"))))
-    info = F.shiftleft(F.col("n").cast("long"), 34) + F.shiftleft(F.col("at").cast("long"), 4) + F.col("len") * 2 + F.col("e").cast("int")
-    return spread.select("g", (F.col("row") * F.col("es") + F.col("col")).alias("share"), "x", "id", info.alias("info"))
-
-
-_SPANS = pa.schema([("t", pa.int64()), ("e", pa.int64()), ("len", pa.int32())])
-_COLUMNS = ("g", "share", "x", "id", "info")
-
-
-def _spans(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Shared spans within suffixes in order: blocks of neighbours with a common prefix of the length of a run."""
-    e = (c["info"] & 1).astype(bool)
-    t, length, at, words = ~e, c["info"] >> 1 & 7, c["info"] >> 4 & (1 << 30) - 1, c["info"] >> 34
-    for m in np.unique(length[t]):
-        prefix = c["x"] >> (BITS * (SPAN - m)) if m > GRAM else np.zeros_like(c["x"])
-        new = np.ones(len(e), bool)
-        new[1:] = (c["g"][1:] != c["g"][:-1]) | (c["share"][1:] != c["share"][:-1]) | (prefix[1:] != prefix[:-1])
-        block = np.cumsum(new)
-        runs, suffixes = np.flatnonzero(t & (length == m)), np.flatnonzero(e)
-        of = block[suffixes]
-        lo, hi = np.searchsorted(of, block[runs]), np.searchsorted(of, block[runs], "right")
-        runs, lo, n = runs[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        ends = np.cumsum(n)
-        for a, b in _chunks(ends, 1_000_000):
-            k = n[a:b]
-            i = np.repeat(runs[a:b], k)
-            j = suffixes[np.repeat(lo[a:b], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
-            allowed = np.maximum(words[i], words[j]) // ONE_IN
-            ok = (np.abs(words[i] - words[j]) <= allowed) & (np.abs(at[i] - at[j]) <= allowed)
-            i, j = i[ok], j[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(c["id"][i]), pa.array(c["id"][j]), pa.array(np.full(len(i), m, np.int32))], schema=_SPANS)
-
-
-def _chunks(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    a = 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
-        yield a, b
-        a = b
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scan of one partition of the suffix array; a prefix that goes on in the next batch is kept for it."""
-    held: list[dict[str, np.ndarray]] = []
-
-    def joined() -> dict[str, np.ndarray]:
-        return {k: np.concatenate([h[k] for h in held]) for k in _COLUMNS}
-
-    for batch in batches:
-        c = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(_COLUMNS)}
-        if not len(c["g"]):
+    forms = F.concat(F.array(F.xxhash64(w)), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64(F.filter(w, lambda x, j: j != i))))
+    of = lambda where, name: records.where(where).select(F.col("id").alias(name), F.explode(F.array_distinct(forms)).alias("h"))
+    t, e = of(f"side in (1, 3) and n between {SHORT - 1} and {SHORT}", "t"), of(f"side >= 2 and n between {SHORT - 1} and {SHORT + 1}", "e")
+    return t.join(e, "h").where("t <> e").select("t", "e")
+
+
+def coverage(a: np.ndarray, b: np.ndarray, k: int) -> int:
+    """How many words of b stand in runs of GRAM words or more that are also in a, moved by at most k words."""
+    covered = np.zeros(len(b), bool)
+    for d in range(-k, k + 1):  # b[i] against a[i + d]
+        lo, hi = max(0, -d), min(len(b), len(a) - d)
+        if hi - lo < GRAM:
             continue
-        same = (c["g"] == c["g"][-1]) & (c["share"] == c["share"][-1])
-        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-        if last:
-            held.append({k: v[:last] for k, v in c.items()})
-            yield from _spans(joined())
-            held = []
-        elif held and (held[-1]["g"][-1] != c["g"][0] or held[-1]["share"][-1] != c["share"][0]):
-            yield from _spans(joined())
-            held = []
-        held.append({k: v[last:] for k, v in c.items()})
-    if held:
-        yield from _spans(joined())
+        same = np.concatenate([[False], a[lo + d : hi + d] == b[lo:hi], [False]]).astype(np.int8)
+        step = np.diff(same)
+        for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1)):
+            if y - x >= GRAM:
+                covered[lo + x : lo + y] = True
+    return int(covered.sum())
 
 
 def within(a: list, b: list, k: int) -> bool:
@@ -189,44 +155,65 @@ def within(a: list, b: list, k: int) -> bool:
     return row[len(b)] <= k
 
 
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: str, y: str) -> bool:
-        v, w = x.split(" "), y.split(" ")
-        return within(v, w, max(len(v), len(w)) // ONE_IN)
+def near(x: list[str], y: list[str]) -> bool:
+    """Whether a training text x and an evaluation text y are near-equal: coverage first, then the exact distance."""
+    k = max(len(x), len(y)) // ONE_IN
+    least = len(y) - 4 * k
+    if least >= GRAM and k:
+        number: dict[str, int] = {}
+        a, b = (np.array([number.setdefault(w, len(number)) for w in v]) for v in (x, y))
+        if coverage(a, b, k) < least:
+            return False
+    return within(x, y, k)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([near(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype=bool)
 
 
 def _pairs(records: DataFrame) -> DataFrame:
     """(t, e): the reps of all near-equal (or equal) pairs of distinct training and evaluation word sequences."""
-    ordered = _suffixes(records).repartition("g", "share").sortWithinPartitions("g", "share", "x")
-    spans = ordered.mapInArrow(_scan, "t bigint, e bigint, len int").groupBy("t", "e").agg(F.sum("len").alias("covered"))
-    spans = cut(spans.where(f"covered >= {GRAM}"), "overlap-spans")
+    pairs = cut(_near_windows(records).unionByName(_near_short(records)).distinct(), "overlap-pairs")
     # Only sequences of some pair take part in the comparison; if they are few, the others are left where they are.
-    ids = spans.select(F.explode(F.array("t", "e")).alias("id")).distinct()
+    ids = pairs.select(F.explode(F.array("t", "e")).alias("id")).distinct()
     kept = records.join(broadcast_if_small(ids), "id", "left_semi")
     side = lambda c: kept.select(F.col("id").alias(c), _rep().alias(f"{c}_rep"), F.col("folded").alias(f"{c}_text"))
-    both = spans.join(side("t"), "t").join(side("e"), "e")
-    near = F.pandas_udf(_near, T.BooleanType())
-    return both.where(near("t_text", "e_text")).select(F.col("t_rep").alias("t"), F.col("e_rep").alias("e"))
+    both = pairs.join(side("t"), "t").join(side("e"), "e")
+    close = both.where(F.pandas_udf(_near, T.BooleanType())("t_text", "e_text")).select(F.col("t_rep").alias("t"), F.col("e_rep").alias("e"))
+    return close.unionByName(records.where("side = 3").select(_rep().alias("t"), _rep().alias("e")))
 
 
 def _packs(rows: DataFrame, side: int, rep: str, ids: str) -> DataFrame:
     """The ids of each rep, in one list for each input partition: a rep that holds a third of all rows is many short rows."""
-    return rows.where(F.col("side") == side).groupBy(_rep().alias(rep), "part").agg(F.collect_list("sent_id").alias(ids)).drop("part")
+    return rows.where((F.col("side") == side) & F.col("sent_id").isNotNull()).groupBy(_rep().alias(rep), "part").agg(F.collect_list("sent_id").alias(ids)).drop("part")
 
 
 def found(train: DataFrame, *evals: DataFrame) -> DataFrame:
     """(sent_id_a, sent_id_b): every pair of a training row and an evaluation row of six words or more that are nearly equal.
 
-    Null and short texts and rows without an id give no pair. Columns beside sent_id and text are ignored.
+    Null and short texts and rows without an id give no pair. Columns beside sent_id and text are ignored. `linked` says
+    the same without pairs of rows.
     """
     rows = _rows(train, _union(evals))
-    e = _pairs(_records(rows)).join(_packs(rows, 2, "e", "es"), "e").select("t", F.explode("es").alias("y"))
-    both = e.join(_packs(rows, 1, "t", "ts"), "t").select(F.explode("ts").alias("x"), "y")
+    e = _pairs(_records(rows)).join(_packs(rows, 2, "e", "es"), "e").select("t", "es")
+    both = e.join(_packs(rows, 1, "t", "ts"), "t").select("ts", F.explode("es").alias("y")).select(F.explode("ts").alias("x"), "y")
     return both.select(F.least("x", "y").alias("sent_id_a"), F.greatest("x", "y").alias("sent_id_b"))
 
 
+def linked(train: DataFrame, *evals: DataFrame) -> DataFrame:
+    """(sent_id, class_id, links): each row with a partner on the other side; class_id is the smallest sent_id of the rows of
+    its side with the same words, links the number of its partners. Grows with the rows, not with their pairs."""
+    rows = _rows(train, _union(evals)).where("sent_id is not null")
+    pairs = _pairs(_records(rows))
+    per = cut(rows.groupBy("side", _rep().alias("rep")).agg(F.count("*").alias("n"), F.min("sent_id").alias("class_id")), "overlap-classes")
+    of = lambda side, name: per.where(F.col("side") == side).select(F.col("rep").alias(name), "n")
+    t = pairs.join(of(2, "e"), "e").groupBy(F.lit(1).alias("side"), F.col("t").alias("rep")).agg(F.sum("n").alias("links"))
+    e = pairs.join(of(1, "t"), "t").groupBy(F.lit(2).alias("side"), F.col("e").alias("rep")).agg(F.sum("n").alias("links"))
+    links = cut(t.unionByName(e).join(per, ["side", "rep"]).select("side", "rep", "class_id", "links"), "overlap-links")
+    own = rows.select("sent_id", "side", _rep().alias("rep"))
+    return own.join(broadcast_if_small(links), ["side", "rep"]).select("sent_id", "class_id", "links")
+
+
 def _union(evals: tuple[DataFrame, ...]) -> DataFrame:
     slim = [e.select("sent_id", "split", "source", "text") for e in evals]
     out = slim[0]

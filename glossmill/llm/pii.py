@@ -1,10 +1,9 @@
 """Personal data in free text, found by a character-level bidirectional LSTM with CRF transitions.
 
-The network runs in numpy over windows of many documents at once. Windows overlap; each character takes its scores from
-the window in whose inner part it lies, so a region is scored as a whole and decoded by one Viterbi pass. An exact check
-of shape follows (an email has a sign, a number enough digits). Regions are the surroundings of everything that could
-belong to personal data: digits, at-signs, capitals inside a sentence, words with the ending of a learned name, and the
-whole text where it has no capitals or is full of them.
+Every character of every text goes through the network, in numpy, in overlapping windows of many documents at once. Each
+window is decoded by Viterbi; a character takes its tag from the window in whose inner part it lies. Where the tags of two
+windows don't join at their seam, the document's scores are put together and decoded as one sequence. Spans are then put on
+whole words; nothing is dropped or changed by its shape.
 """
 
 from __future__ import annotations
@@ -24,172 +23,159 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tag 0 is outside; kind k has 1 + 2k for its first character and 2 + 2k for the others.
 TAGS = 1 + 2 * len(KINDS)
 #: Characters of a window, and those at each end that only give context.
-WINDOW, CONTEXT = 256, 32
-#: Characters of text in work at once.
-CHUNK = 2_000_000
-#: Characters taken along on each side of a trigger, and windows that run at once.
-AROUND, BATCH = 48, 512
+WINDOW, CONTEXT = 560, 48
+INNER = WINDOW - 2 * CONTEXT
+#: Characters of text in work at once, and windows that run at once.
+CHUNK, BATCH = 1_000_000, 256
 #: Characters by kind when they aren't in the vocabulary.
-_OTHERS = ("pad", "upper", "lower", "digit", "space", "other")
+OTHERS = ("pad", "upper", "lower", "digit", "space", "other", "caseless")
+_FIRSTS = np.array([0, *range(1, TAGS, 2)])  # tags that any tag may come before
+
+
+def kind_of(c: str) -> int:
+    """The place in OTHERS of a character that has no entry of its own."""
+    return 4 if c.isspace() else 3 if c.isdigit() else 1 if c.isupper() or c.istitle() else 2 if c.islower() else 6 if c.isalpha() else 5
 
 
 @lru_cache(maxsize=1)
 def weights() -> dict[str, np.ndarray]:
     m = {k: v.astype(np.float32) if v.dtype == np.float16 else v for k, v in np.load(MODEL).items()}
-    index = np.zeros(0x110000, np.uint16)
-    for c in range(0x3000):
-        s = chr(c)
-        index[c] = 4 if s.isspace() else 3 if s.isdigit() else 1 if s.isupper() else 2 if s.isalpha() else 5
-    index[0x3000:] = 5
-    m["kind_of"] = index.astype(np.uint8)
-    for i, c in enumerate(m["chars"]):
-        index[c] = len(_OTHERS) + i
-    m["index"] = index
-    m["lower"] = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(0x3000))] + [0], np.uint32)[np.minimum(np.arange(0x110000), 0x3000)]
-    key = lambda e: sum(ord(c) * 0x110000**k for k, c in enumerate(reversed(e)))
-    m["ending_keys"] = np.sort(np.array([key(e) % 2**64 for e in bytes(m["endings"]).decode().split() if len(e) == 4], np.uint64))
+    m["index"] = index_of(m["chars"])
+    size = m["wh_f"].shape[0]
+    # Gates: sigmoid(v) = (1 + tanh(v / 2)) / 2, so three of four get half of their input; the state is kept doubled.
+    scale = np.concatenate([np.full(3 * size, 0.5), np.ones(size)]).astype(np.float32)
     for d in "fb":  # the input's share of the gates, once for each character of the vocabulary
-        m[f"table_{d}"] = m["embed"] @ m[f"wx_{d}"] + m[f"b_{d}"]
+        m[f"table_{d}"] = np.ascontiguousarray((m["embed"] @ m[f"wx_{d}"] + m[f"b_{d}"]) * scale)
+        m[f"half_{d}"] = np.ascontiguousarray(m[f"wh_{d}"] * scale * 0.5)
+    m["out_f"], m["out_r"] = m["out"][:size] * 0.5, m["out"][size:] * 0.5
     return m
 
 
-def _word_ends(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Where words with a learned ending (of four letters, whatever their case) end."""
-    letter = (kind == 1) | (kind == 2)
-    end = np.flatnonzero(letter[:-1] & ~letter[1:]) if len(letter) > 1 else np.zeros(0, np.int64)
-    if len(letter) and letter[-1]:
-        end = np.append(end, len(letter) - 1)
-    end = end[end >= 3]
-    key = np.zeros(len(end), np.uint64)
-    low = weights()["lower"]
-    for k in range(3, -1, -1):  # from the fourth last letter to the last
-        key = key * np.uint64(0x110000) + low[codes[end - k]].astype(np.uint64)
-    known = weights()["ending_keys"]
-    return end[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key]
+def index_of(chars: np.ndarray) -> np.ndarray:
+    """The vocabulary's number of every code point."""
+    index = np.full(0x110000, 5, np.int16)
+    for c in range(0x30000):
+        if not 0xD800 <= c < 0xE000:
+            index[c] = kind_of(chr(c))
+    index[chars] = len(OTHERS) + np.arange(len(chars))
+    return index
 
 
-def regions(texts: list[str]) -> list[tuple[int, int, int]]:
-    """(text, start, end) of the stretches that are scored, in order."""
-    m = weights()
-    joined = "\n".join(texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    if not len(codes):
-        return []
-    kind = m["kind_of"][codes]
-    upper, lower = kind == 1, kind == 2
-    sums = lambda f: np.diff(np.concatenate([[0], np.cumsum(f)])[np.concatenate([starts, [len(codes)]])])
-    n_up, n_low = sums(upper), sums(lower)
-    whole = (n_up * 200 < n_low) | (n_up > n_low * 0.12)
-    hit = (kind == 3) | (codes == 64) | (codes == 0xFF20)
-    if len(codes) > 2:
-        # a capital that follows a word or comma, not the end of a sentence
-        hit[2:] |= upper[2:] & (kind[1:-1] == 4) & (lower[:-2] | upper[:-2] | np.isin(codes[:-2], (44, 58, 59)))
-        # a sign written as a word in brackets
-        hit[2:] |= np.isin(codes[:-2], (40, 91, 123)) & np.isin(codes[1:-1] | 32, (97, 101)) & ((codes[2:] | 32) == 116)
-    hit[_word_ends(codes, kind)] = True
-    at = np.flatnonzero(hit)
-    out = [(int(i), 0, int(sizes[i])) for i in np.flatnonzero(whole & (sizes > 0))]
-    of = np.searchsorted(starts, at, "right") - 1
-    keep = ~whole[of]
-    at, of = at[keep] - starts[of[keep]], of[keep]
-    if len(at):
-        new = np.ones(len(at), bool)
-        new[1:] = (of[1:] != of[:-1]) | (np.diff(at) > 2 * AROUND)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        a, b = np.maximum(0, at[first] - AROUND), np.minimum(sizes[of[first]], at[last] + AROUND + 1)
-        out += [(int(i), int(x), int(y)) for i, x, y in zip(of[first], a, b)]
-    return sorted(out)
-
-
-def _lstm(x: np.ndarray, lengths: np.ndarray, table: np.ndarray, wh: np.ndarray, backward: bool) -> np.ndarray:
-    """Hidden states (time, batch, H) of one direction for characters (time, batch), of which each column has its own
-    length, ascending. What lies beyond a column's length is never looked at, so columns don't affect one another."""
+def _lstm(x: np.ndarray, first: np.ndarray, table: np.ndarray, wh: np.ndarray, backward: bool) -> np.ndarray:
+    """Doubled hidden states (time, batch, H) of one direction for characters (time, batch). At time t only the columns
+    from first[t] on are there: they are ordered by length, and none sees what lies beyond its own."""
     n, b = x.shape
-    h4 = wh.shape[1]
-    size = h4 // 4
+    size = wh.shape[0]
     h, c = np.zeros((b, size), np.float32), np.zeros((b, size), np.float32)
+    z, y = np.empty((b, 4 * size), np.float32), np.empty((b, 4 * size), np.float32)
     out = np.zeros((n, b, size), np.float32)
-    first = np.searchsorted(lengths, np.arange(n), "right")  # columns before it have ended
     for t in range(n - 1, -1, -1) if backward else range(n):
         k = first[t]
-        z = table[x[t, k:]]
-        z += h[k:] @ wh
-        s = z[:, : 3 * size]  # the table and wh hold half of these gates' inputs: sigmoid(v) = (1 + tanh(v / 2)) / 2
-        np.tanh(z, out=z)
-        s += 1.0
-        s *= 0.5
+        g = z[k:]
+        np.take(table, x[t, k:], 0, g, "clip")
+        np.matmul(h[k:], wh, y[k:])
+        g += y[k:]
+        np.tanh(g, g)
+        g[:, : 3 * size] += 1.0
         cell = c[k:]
-        cell *= s[:, size : 2 * size]
-        cell += s[:, :size] * z[:, 3 * size :]
-        np.tanh(cell, out=h[k:])
-        h[k:] *= s[:, 2 * size :]
+        cell *= g[:, size : 2 * size]
+        new = g[:, :size]
+        new *= g[:, 3 * size :]
+        cell += new
+        cell *= 0.5
+        np.tanh(cell, h[k:])
+        h[k:] *= g[:, 2 * size : 3 * size]
         out[t, k:] = h[k:]
     return out
 
 
-@lru_cache(maxsize=1)
-def _halved() -> dict[str, np.ndarray]:
-    m = weights()
-    size = m["wh_f"].shape[0]
-    scale = np.concatenate([np.full(3 * size, 0.5), np.ones(size)]).astype(np.float32)
-    return {k: np.ascontiguousarray(m[k] * scale) for k in ("table_f", "table_b", "wh_f", "wh_b")}
+def _first(n: int, lengths: np.ndarray) -> np.ndarray:
+    return np.searchsorted(lengths, np.arange(n), "right")
 
 
 def scores(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Tag scores (time, batch, TAGS) of characters (time, batch) in columns of ascending lengths."""
-    m, g = weights(), _halved()
-    size = m["wh_f"].shape[0]
-    f = _lstm(x, lengths, g["table_f"], g["wh_f"], False)
-    b = _lstm(x, lengths, g["table_b"], g["wh_b"], True)
-    return f @ m["out"][:size] + b @ m["out"][size:] + m["out_b"]
+    m, first = weights(), _first(len(x), lengths)
+    f = _lstm(x, first, m["table_f"], m["half_f"], False)
+    e = f.reshape(-1, f.shape[2]) @ m["out_f"]
+    b = _lstm(x, first, m["table_b"], m["half_b"], True)
+    e += b.reshape(-1, f.shape[2]) @ m["out_r"]
+    e += m["out_b"]
+    return e.reshape(*x.shape, -1)
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Best tags (time, batch) of scores (time, batch, TAGS) in columns of ascending lengths; trans[i, j] is added from tag i
-    to tag j. Beyond its length a column repeats its last tag."""
+    to tag j. The inner tag of a kind follows its own two tags only. Beyond its length a column repeats its last tag."""
     n, b, _ = e.shape
     score = np.ascontiguousarray(e.transpose(0, 2, 1))  # tags first, so that maxima run over whole rows of the batch
-    first = np.searchsorted(lengths, np.arange(n), "right")
+    first = _first(n, lengths)
+    enter = np.ascontiguousarray(trans[:, _FIRSTS])[:, :, None]
+    on, stay = trans[_FIRSTS[1:], _FIRSTS[1:] + 1][:, None], trans[_FIRSTS[1:] + 1, _FIRSTS[1:] + 1][:, None]
     for t in range(1, n):
         k = first[t]
-        score[t, :, k:] += (score[t - 1, :, None, k:] + trans[:, :, None]).max(0)
-        score[t, :, :k] = score[t - 1, :, :k]
+        before, now = score[t - 1, :, k:], score[t, :, k:]
+        best = (before[:, None] + enter).max(0)
+        now[0] += best[0]
+        now[1::2] += best[1:]
+        now[2::2] += np.maximum(before[1::2] + on, before[2::2] + stay)
+        if k:
+            score[t, :, :k] = score[t - 1, :, :k]
+    held = np.full_like(trans, -np.inf)
+    held[:, _FIRSTS] = trans[:, _FIRSTS]
+    for i in _FIRSTS[1:]:
+        held[i : i + 2, i + 1] = trans[i : i + 2, i + 1]
     out = np.empty((n, b), np.int8)
     out[-1] = score[-1].argmax(0)
     for t in range(n - 1, 0, -1):
         k = first[t]
         out[t - 1, :k] = out[t, :k]
-        out[t - 1, k:] = (score[t - 1, :, k:] + trans[:, out[t, k:]]).argmax(0)
+        out[t - 1, k:] = (score[t - 1, :, k:] + held[:, out[t, k:]]).argmax(0)
     return out
 
 
-def _region_scores(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """Scores of each region (given as character indexes), stitched from overlapping windows."""
-    jobs = []  # (region, first character, window start, window end)
-    inner = WINDOW - 2 * CONTEXT
-    for r, x in enumerate(texts):
-        for a in range(0, max(1, len(x)), inner):
-            jobs.append((r, a, max(0, a - CONTEXT), min(len(x), a + inner + CONTEXT)))
-    jobs.sort(key=lambda j: j[3] - j[2])
-    out = [np.empty((len(x), TAGS), np.float32) for x in texts]
-    for i in range(0, len(jobs), BATCH):
-        part = jobs[i : i + BATCH]
-        longest = max(e - s for _, _, s, e in part)
-        x = np.zeros((longest, len(part)), np.uint16)
-        for k, (r, _, s, e) in enumerate(part):
-            x[: e - s, k] = texts[r][s:e]
-        y = scores(x, np.array([e - s for _, _, s, e in part]))
-        for k, (r, a, s, e) in enumerate(part):
-            z = min(a + inner, len(texts[r]))
-            out[r][a:z] = y[a - s : z - s, k]
+def _windows(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, inner start, inner end, end) of every window of every text, by length."""
+    n = -(-sizes // INNER)
+    of = np.repeat(np.arange(len(sizes)), n)
+    a = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * INNER
+    z = np.minimum(a + INNER, sizes[of])
+    s, e = np.maximum(0, a - CONTEXT), np.minimum(z + CONTEXT, sizes[of])
+    order = np.argsort(e - s, kind="stable")
+    return tuple((v + starts[of])[order] for v in (s, a, z, e))
+
+
+def _tags(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The tag of every character of texts that stand one after another in `codes` (vocabulary numbers)."""
+    m = weights()
+    out = np.zeros(len(codes), np.int8)
+    s, a, z, e = _windows(starts, sizes)
+    for i in range(0, len(s), BATCH):
+        own = slice(i, i + BATCH)
+        lengths = e[own] - s[own]
+        at = s[own][None] + np.arange(lengths[-1])[:, None]
+        x = codes[np.minimum(at, len(codes) - 1)]
+        best = viterbi(scores(x, lengths), m["trans"], lengths)
+        inner = (at >= a[own]) & (at < z[own])
+        out[at[inner]] = best[inner]
+    # seams where an inner tag follows another kind: those documents are decoded as one sequence
+    inner = np.flatnonzero((out > 0) & (out % 2 == 0))
+    left = out[inner - 1]
+    broken = inner[~((left == out[inner]) | (left == out[inner] - 1)) | np.isin(inner, starts)]
+    for d in np.unique(np.searchsorted(starts, broken, "right") - 1):
+        lo, n = starts[d], sizes[d]
+        all_ = np.empty((n, 1, TAGS), np.float32)
+        for s1, a1, z1, e1 in zip(*_windows(np.zeros(1, np.int64), sizes[d : d + 1])):
+            all_[a1:z1] = scores(codes[lo + s1 : lo + e1, None], np.array([e1 - s1]))[a1 - s1 : z1 - s1]
+        out[lo : lo + n] = viterbi(all_, m["trans"], np.array([n]))[:, 0]
     return out
 
 
-def _checked(text: str, a: int, b: int, kind: str, cased: bool) -> tuple[int, int] | None:
-    """The span with its ends put on whole words, or None if it can't be of its kind."""
+_LOCAL, _DOMAIN = re.compile(r"[\w.+%-]"), re.compile(r"(?:[\w-]|\.(?=\w))*")
+
+
+def _placed(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
+    """The span without white space and commas at its ends, with both ends on whole words."""
     while a < b and (text[a].isspace() or text[a] in ".,;:)]}"):
         a += 1
     while b > a and (text[b - 1].isspace() or text[b - 1] in ",;:"):
@@ -198,38 +184,11 @@ def _checked(text: str, a: int, b: int, kind: str, cased: bool) -> tuple[int, in
         a -= 1
     while b < len(text) and b > a and text[b - 1].isalnum() and text[b].isalnum():
         b += 1
-    span = text[a:b]
-    digits = sum(c.isdigit() for c in span)
-    if kind == "email":
-        while a > 0 and re.match(r"[\w.+%-]", text[a - 1]):
+    if kind == "email" and b > a:
+        while a > 0 and _LOCAL.match(text[a - 1]):
             a -= 1
-        ok = re.search(r"[@＠]|[(\[{](?:at|eta|@)[)\]}]", span, re.I) and "." in span
-    elif kind == "phone":
-        ok = digits >= 7
-    elif kind == "id_number":
-        ok = digits >= 6
-    elif kind == "address":
-        ok = digits >= 1 and re.search(r"[^\W\d_]{2}", span) and not re.match(r"nr\b", span, re.I)
-        ok = ok and (not cased or re.search(r"[^\W\d_]{3}", "".join(w for w in re.split(r"(\W+)", span) if not w.islower())))
-    else:
-        ok = sum(c.isalpha() for c in span) >= 3 and digits == 0
-        if ok and cased:  # names are capitalised; small words behind one belong to the text
-            words = list(re.finditer(r"[^\W\d_]+", span))
-            n = next((i for i, w in enumerate(words) if w[0][0].islower()), len(words))
-            rest = any(len(w[0]) > 2 for w in words[n:])
-            ok = any(len(w[0]) > 2 for w in words[:n]) and not (n < 2 and rest)
-            if ok and n < len(words):
-                b = a + words[n - 1].end()
-    return (a, b) if ok and b > a else None
-
-
-def _numbers(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """A span of phone numbers as single ones: a sign that only begins a number begins a new one if both sides are whole."""
-    digits = lambda s: sum(c.isdigit() for c in s)
-    for m in re.finditer(r"\s+(?=[(+]|00\d)", text[a:b]):
-        if digits(text[a : a + m.start()]) >= 7 and digits(text[a + m.end() : b]) >= 7:
-            return [(a, a + m.start()), *_numbers(text, a + m.end(), b)]
-    return [(a, b)]
+        b = max(b, _DOMAIN.match(text, b).end() if text[b - 1].isalnum() else b)
+    return a, b
 
 
 def tag(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
@@ -239,7 +198,7 @@ def tag(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """
     out, part, size = [], [], 0
     for i, t in enumerate(texts):
-        part.append(t)
+        part.append(t or "")
         size += len(t or "")
         if size > CHUNK or i + 1 == len(texts):
             out += _tag(part)
@@ -247,54 +206,28 @@ def tag(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     return out
 
 
-def _tag(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-    m = weights()
-    where, parts = [], []
-    for i, a, b in regions([t or "" for t in texts]):
-        where.append((i, a))
-        parts.append(m["index"][np.frombuffer(texts[i][a:b].encode("utf-32-le", "surrogatepass"), np.uint32)])
+def _tag(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    cased = [bool(t) and sum(map(str.isupper, t)) * 200 >= sum(map(str.islower, t)) for t in texts]
-    order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
-    step = 20_000
-    for lo in range(0, len(order), step):
-        own = order[lo : lo + step]
-        e = _region_scores([parts[k] for k in own])
-        at = 0
-        while at < len(own):  # regions of about one length are decoded together
-            to = min(len(own), at + BATCH)
-            longest = len(e[to - 1])
-            while to - at > 1 and longest * (to - at) > 400_000:
-                to -= (to - at) // 2
-                longest = len(e[to - 1])
-            block = np.zeros((longest, to - at, TAGS), np.float32)
-            for k in range(at, to):
-                block[: len(e[k]), k - at] = e[k]
-            best = viterbi(block, m["trans"], np.array([len(e[k]) for k in range(at, to)]))
-            for k in range(at, to):
-                i, start = where[own[k]]
-                tags = best[: len(e[k]), k - at]
-                if not tags.any():
-                    continue
-                begins = np.flatnonzero((tags % 2 == 1) | ((tags > 0) & (np.concatenate([[0], tags[:-1]]) == 0)))
-                for a in begins:
-                    kind = (int(tags[a]) - 1) // 2
-                    b = a + 1
-                    while b < len(tags) and tags[b] == 2 + 2 * kind:
-                        b += 1
-                    for x, y in _numbers(texts[i], start + int(a), start + int(b)) if KINDS[kind] == "phone" else [(start + int(a), start + int(b))]:
-                        got = _checked(texts[i], x, y, KINDS[kind], cased[i])
-                        if got:
-                            found[i].append((*got, KINDS[kind]))
-            at = to
-    out = []
-    for spans in found:
-        clean: list[tuple[int, int, str]] = []
-        for a, b, k in sorted(set(spans)):
-            if not clean or a >= clean[-1][1]:
-                clean.append((a, b, k))
-        out.append(clean)
-    return out
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return found
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    tags = _tags(weights()["index"][np.minimum(codes, 0x10FFFF)].astype(np.intp), starts[sizes > 0], sizes[sizes > 0])
+    kind = (tags + 1) // 2
+    before = np.concatenate([[0], kind[:-1]])
+    before[starts[sizes > 0]] = 0
+    begins = np.flatnonzero((kind > 0) & ((tags % 2 == 1) | (kind != before)))
+    goes_on = np.concatenate([(kind[1:] == kind[:-1]) & (tags[1:] % 2 == 0), [False]])
+    goes_on[(starts + sizes - 1)[sizes > 0]] = False
+    stops = np.flatnonzero(~goes_on & (kind > 0))
+    stops = stops[np.searchsorted(stops, begins)] + 1
+    for a, b, i in zip(begins, stops, np.searchsorted(starts, begins, "right") - 1):
+        at = starts[i]
+        x, y = _placed(texts[i], int(a - at), int(b - at), KINDS[kind[a] - 1])
+        if y > x and (not found[i] or x >= found[i][-1][1]):
+            found[i].append((x, y, KINDS[kind[a] - 1]))
+    return found
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start_at", T.IntegerType()), T.StructField("end_at", T.IntegerType()), T.StructField("kind", T.StringType())]))

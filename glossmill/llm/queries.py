@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_collapsed": lambda s, d: format_dups.collapsed(keeper(s, d)),
         "p5_found": lambda s, d: overlap.found(table(s, d, "train"), table(s, d, "dev"), table(s, d, "test")),
         "p5_report": lambda s, d: overlap.report(table(s, d, "train"), table(s, d, "dev"), table(s, d, "test")),
+        "p5_links": lambda s, d: overlap.linked(table(s, d, "train"), table(s, d, "dev"), table(s, d, "test")),
         "p6_found": lambda s, d: lookalike.found(keeper(s, d)),
         "p6_normalized": lambda s, d: lookalike.normalized(keeper(s, d)),
         "p6_links": lambda s, d: lookalike.linked(keeper(s, d)),
@@ -121,6 +122,17 @@ def _one_look() -> str:
         SELECT p.row_id, nfc_normalize(coalesce(best, p.text)) AS text, nfc_normalize(coalesce(best, p.text)) IS DISTINCT FROM p.text AS is_changed FROM parquet_keeper p LEFT JOIN r USING (row_id)"""
 
 
+#: Distinct word sequences of both sides and the word distance of those that share enough words.
+_NEAR = r"""WITH norm AS (SELECT sent_id, split, source, trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]+', '', 'g'), '[\t-\r\x1c-\x20\x{85}\p{Z}]+', ' ', 'g')) AS f
+                FROM (SELECT sent_id, split, source, text FROM train UNION ALL SELECT sent_id, split, source, text FROM dev UNION ALL SELECT sent_id, split, source, text FROM test)),
+            w AS (SELECT *, string_split(f, ' ') AS l FROM norm WHERE len(string_split(f, ' ')) >= 6),
+            t AS (SELECT l, count(*) AS c, len(l) AS n FROM w WHERE split = 'train' GROUP BY l), e AS (SELECT DISTINCT l, len(l) AS n FROM w WHERE split <> 'train'),
+            tw AS (SELECT DISTINCT l, unnest(l) AS x FROM t), ew AS (SELECT DISTINCT l, unnest(l) AS x FROM e),
+            cand AS (SELECT tw.l AS a, ew.l AS b FROM tw JOIN ew USING (x) GROUP BY 1, 2 HAVING count(*) >= len(list_distinct(ew.l)) - greatest(len(tw.l), len(ew.l)) // 8 AND abs(len(tw.l) - len(ew.l)) <= greatest(len(tw.l), len(ew.l)) // 8),
+            coded AS (SELECT a, b, list_distinct(list_concat(a, b)) AS v FROM cand),
+            dist AS (SELECT a, b, levenshtein(array_to_string(list_transform(a, lambda x: chr((32 + list_position(v, x))::INT)), ''), array_to_string(list_transform(b, lambda x: chr((32 + list_position(v, x))::INT)), '')) AS d FROM coded),"""
+
+
 def oracle_sql() -> dict[str, str]:
     longest = lambda pattern: f"list_max(list_transform(regexp_split_to_array(text, '{pattern}'), lambda x: length(x)))"
     return {
@@ -132,15 +144,17 @@ def oracle_sql() -> dict[str, str]:
                 FROM parquet_keeper p LEFT JOIN size_limits l ON p.source = l.source WHERE text IS NOT NULL)
             SELECT row_id, CASE WHEN {longest(_BLANK_LINES)} <= m THEN 'blank_line' WHEN {longest(_NL)} <= m THEN 'line_break'
                 WHEN {longest(r'[\t-\r\x1c-\x20\x{85}\x{e001}\p{Z}]+')} <= m THEN 'white_space' ELSE 'no_space' END AS cut_at FROM k WHERE length(text) > m""",
-        "p5_report": r"""WITH norm AS (SELECT sent_id, split, source, trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]+', '', 'g'), '[\t-\r\x1c-\x20\x{85}\p{Z}]+', ' ', 'g')) AS f
-                FROM (SELECT sent_id, split, source, text FROM train UNION ALL SELECT sent_id, split, source, text FROM dev UNION ALL SELECT sent_id, split, source, text FROM test)),
-            w AS (SELECT *, string_split(f, ' ') AS l FROM norm WHERE len(string_split(f, ' ')) >= 6),
-            t AS (SELECT l, count(*) AS c, len(l) AS n FROM w WHERE split = 'train' GROUP BY l), e AS (SELECT DISTINCT l, len(l) AS n FROM w WHERE split <> 'train'),
-            tw AS (SELECT DISTINCT l, unnest(l) AS x FROM t), ew AS (SELECT DISTINCT l, unnest(l) AS x FROM e),
-            cand AS (SELECT tw.l AS a, ew.l AS b FROM tw JOIN ew USING (x) GROUP BY 1, 2 HAVING count(*) >= len(list_distinct(ew.l)) - greatest(len(tw.l), len(ew.l)) // 8 AND abs(len(tw.l) - len(ew.l)) <= greatest(len(tw.l), len(ew.l)) // 8),
-            coded AS (SELECT a, b, list_distinct(list_concat(a, b)) AS v FROM cand),
-            dist AS (SELECT a, b, levenshtein(array_to_string(list_transform(a, lambda x: chr((32 + list_position(v, x))::INT)), ''), array_to_string(list_transform(b, lambda x: chr((32 + list_position(v, x))::INT)), '')) AS d FROM coded),
+        "p5_report": _NEAR + """
             per AS (SELECT b, sum(c)::BIGINT AS partners FROM dist JOIN t ON t.l = a WHERE d <= greatest(len(a), len(b)) // 8 GROUP BY b)
             SELECT n.split, n.source, count(*) AS rows_all, count(partners) AS rows_overlapping, coalesce(sum(partners), 0)::BIGINT AS partners
             FROM norm n LEFT JOIN per ON string_split(n.f, ' ') = per.b WHERE n.split <> 'train' GROUP BY n.split, n.source""",
+        "p5_found": _NEAR + """
+            ok AS (SELECT a, b FROM dist WHERE d <= greatest(len(a), len(b)) // 8), r AS (SELECT sent_id, split, string_split(f, ' ') AS l FROM norm)
+            SELECT least(x.sent_id, y.sent_id) AS sent_id_a, greatest(x.sent_id, y.sent_id) AS sent_id_b
+            FROM ok JOIN r x ON x.l = a AND x.split = 'train' JOIN r y ON y.l = b AND y.split <> 'train'""",
+        "p5_links": _NEAR + """
+            ok AS (SELECT a, b FROM dist WHERE d <= greatest(len(a), len(b)) // 8), r AS (SELECT sent_id, split = 'train' AS tr, string_split(f, ' ') AS l FROM norm),
+            c AS (SELECT l, tr, count(*) AS n, min(sent_id) AS class_id FROM r GROUP BY l, tr),
+            k AS (SELECT a AS l, true AS tr, sum(n)::BIGINT AS links FROM ok JOIN c ON c.l = b AND NOT c.tr GROUP BY a UNION ALL SELECT b, false, sum(n)::BIGINT FROM ok JOIN c ON c.l = a AND c.tr GROUP BY b)
+            SELECT sent_id, class_id, links FROM r JOIN k USING (l, tr) JOIN c USING (l, tr)""",
     }
