@@ -27,39 +27,67 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder (`spark.checkpoint.dir`); a private one only where that is unset."""
+    """The cluster's checkpoint folder (`spark.checkpoint.dir`). Where that is unset, a private folder is used if all work is
+    done on this machine; on a cluster it is an error, as each executor would write to a disk of its own."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="glossmill-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by `clear` or when the driver's Python ends."""
+    if not _written:
+        atexit.register(clear)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once to the shared folder and read it back, so later passes neither recompute nor lose it.
 
-    The table survives the loss of any executor. It is deleted when the driver's Python ends.
+    The table survives the loss of any executor. It stays until `clear` or the end of the driver's Python.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may be gone already; the folder belongs to the cluster then
-        pass
+def clear() -> None:
+    """Delete all intermediate tables so far. Frames that come from them can't be used after it: call it in a long session
+    once their results are written."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may be gone already; the folder belongs to the cluster then
+            pass
+
+
+def estimate(df: DataFrame) -> int:
+    """The optimizer's own estimate of the size of `df` in bytes (of files, compressed)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` in at least as many partitions as there are cores. A no-op unless the input is smaller than one split a core,
-    where work on each row costs more than moving it once."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    """`df` in as many partitions as there are cores if it is so small that its scan has fewer; else `df` itself.
+
+    A scan gets a partition for each `openCostInBytes` at least, so only inputs under that much a core are moved, which
+    costs little; larger ones, of whatever size, are never shuffled for it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
+    return df.repartition(cores) if estimate(df) < cores * least else df
 
 
 def once(df: DataFrame, **columns) -> DataFrame:
@@ -73,5 +101,4 @@ def once(df: DataFrame, **columns) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint only if the optimizer's own estimate of `df` is under `limit` bytes."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if estimate(df) <= limit else df
