@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.shared import broadcast_if_small
+
 BREAK = r"(?>\r\n|[\n\r\u2028\u2029])"
 _BLANK_IN = r"[^\S\n\r\u2028\u2029]*"
 _LINE = re.compile(BREAK)
@@ -109,9 +111,9 @@ def pieces(text: Column, limit: Column, overlap: Column) -> Column:
 def with_limits(docs: DataFrame, limits: DataFrame) -> DataFrame:
     """Each row with the max_chars and overlap_chars of its source; `default` for a null or unlisted source.
 
-    `limits` has a row a source; sources are configuration, so its size doesn't grow with the corpus.
+    `limits` is broadcast if it is small; of `default` there is one row.
     """
-    own = F.broadcast(limits.select(F.col("source").alias("_source"), F.struct("max_chars", "overlap_chars").alias("_own")))
+    own = broadcast_if_small(limits.select(F.col("source").alias("_source"), F.struct("max_chars", "overlap_chars").alias("_own")))
     default = F.broadcast(limits.where("source = 'default'").select(F.struct("max_chars", "overlap_chars").alias("_default")).limit(1))
     joined = docs.join(own, docs["source"] == own["_source"], "left").join(default, F.lit(True), "left")
     use = F.coalesce("_own", "_default")

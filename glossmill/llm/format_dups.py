@@ -9,25 +9,27 @@ its bucket as one entry a partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import WS
-from ..plans.shared import cut
+from ..plans.shared import broadcast_if_small, cut
 
 #: Entries that one bucket may hold.
 BUCKET_ROWS = 200_000
-#: Bytes by which an oversized bucket is split, and the most bytes ever looked at; beyond, the bucket shares so long a
-#: prefix that its distinct texts are split by their digest instead.
-STEP, DEEPEST = 2, 64
+#: Bytes by which an oversized bucket is split beyond what its keys have in common.
+STEP = 2
 #: Entries in a trie's leaf before it bursts into children, and the bytes a child stands for.
 LEAF, CHUNK = 256, 8
 #: Bytes of keys that one local trie may hold.
 LOCAL_BYTES = 32 * 1024 * 1024
 
-_NAME = r"[\s\"'*_]*[\p{L}][\p{L}\p{M}\p{N} _.\-]{0,39}[\"'*_]*"
+_NAME = r"[\s\"'*_]*[\p{L}][\p{L}\p{M}\p{N} _.\-]*+[\"'*_]*"
 _FIELD = rf"^{_NAME}\s*(?:=>|[:=])\s*(.*)$"
 #: A value that ends like this is a sentence, so its record isn't made of fields only.
 _SENTENCE = r"[.!?…][\"'”“»)]*\s*$"
@@ -143,24 +145,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(trie)
 
 
-def radix_buckets(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Column:
-    """The bucket of each entry: the shortest prefix of `key` (in steps of STEP bytes) held by at most bucket_rows entries.
+def _common(lo: pd.Series, hi: pd.Series) -> pd.Series:
+    return pd.Series([len(commonprefix([bytes(a), bytes(b)])) for a, b in zip(lo, hi)], dtype="int32")
 
-    The driver sees the oversized prefixes only, fewer than entries / bucket_rows of them a level. Beyond DEEPEST bytes
-    the digest of the whole key splits what is left.
+
+def radix_buckets(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """`entries` (key, copies, entry) with their bucket: a prefix of `key` that at most bucket_rows entries share.
+
+    A bucket that holds more is split by the STEP bytes after what all its keys have in common (the common prefix of its
+    smallest and largest key), until each fits; so every pass splits every oversized bucket, however long its prefix. A
+    bucket of one key only is left: its copies are combined already, to one entry an input partition. What is known of
+    oversized buckets stays a table, which is joined; the driver only learns whether there are any.
     """
     key = F.col("key")
-    bucket, left, at = F.substring(key, 1, STEP), entries, STEP
+    done = entries.withColumn("bucket", F.substring(key, 1, STEP))
+    left = done
     while True:
-        prefix = F.substring(key, 1, at)
-        over = [bytes(r[0]) for r in left.groupBy(prefix.alias("p")).count().where(F.col("count") > bucket_rows).collect()]
-        if not over:
-            return bucket
-        if at >= DEEPEST:
-            return F.when(prefix.isin(over), F.concat(prefix, F.substring(F.unhex(F.md5(key)), 1, 4))).otherwise(bucket)
-        left = left.where(prefix.isin(over))
-        at += STEP
-        bucket = F.when(prefix.isin(over), F.substring(key, 1, at)).otherwise(bucket)
+        sizes = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        over = sizes.where((F.col("n") > bucket_rows) & (F.col("lo") != F.col("hi")))
+        over = cut(over.select("bucket", (F.pandas_udf(_common, T.IntegerType())("lo", "hi") + STEP).alias("_to")), "format-dups-over")
+        if over.isEmpty():
+            return done
+        small = broadcast_if_small(over)
+        further = F.when(F.col("_to").isNotNull(), F.substr(key, F.lit(1), F.col("_to"))).otherwise(F.col("bucket"))
+        done = cut(done.join(small, "bucket", "left").select(*entries.columns, further.alias("bucket"), F.col("_to").isNotNull().alias("open")), "format-dups-buckets")
+        left, done = done.where("open"), done.drop("open")
 
 
 def _entries(docs: DataFrame) -> DataFrame:
@@ -170,7 +179,7 @@ def _entries(docs: DataFrame) -> DataFrame:
 
 def _groups(entries: DataFrame, bucket_rows: int) -> DataFrame:
     slim = entries.select("key", "copies", "entry")
-    bucketed = slim.select(radix_buckets(slim, bucket_rows).alias("bucket"), "key", "copies", "entry")
+    bucketed = radix_buckets(slim, bucket_rows).select("bucket", "key", "copies", "entry")
     return bucketed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "entry bigint, keep_id bigint, copies bigint")
 
 

@@ -10,59 +10,80 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import broadcast_if_small
 from .tokens import ranked, sized
 
-#: Largest remaining budget that goes into the dynamic program.
-KNAPSACK = 65_536
+#: Tokens that the dynamic program may be wide: 4 bytes each on the driver.
+WIDTH = 1 << 25
 
 
 def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length (at most its count) sum to `budget`, or to the largest reachable sum under it."""
+    """How many of each length (at most its count) sum to `budget`, or to the largest reachable sum under it.
+
+    Sums that can be reached are bits of one number; of each sum it is noted which items first reached it.
+    """
+    reach, mask = 1, (1 << (budget + 1)) - 1
     items: list[tuple[int, int]] = []  # (length, how many at once): counts by powers of two
-    reach = [1]
-    mask = (1 << (budget + 1)) - 1
-    for length in sorted(counts):
+    by = np.full(budget + 1, -1, np.int32)
+    for length in sorted(counts, reverse=True):
         n, k = min(counts[length], budget // length if length else 0), 1
-        while n > 0 and not reach[-1] >> budget & 1:
+        while n > 0 and not reach >> budget & 1:
             k = min(k, n)
+            new = (reach << (length * k)) & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+                bytes_ = np.flatnonzero(bits)
+                at = np.flatnonzero(np.unpackbits(bits[bytes_], bitorder="little"))
+                by[bytes_[at >> 3] * 8 + (at & 7)] = len(items)
+                reach |= new
             items.append((length, k))
-            reach.append((reach[-1] | reach[-1] << (length * k)) & mask)
             n, k = n - k, k * 2
-    at = reach[-1].bit_length() - 1
+    at = reach.bit_length() - 1
     chosen: dict[int, int] = defaultdict(int)
-    for i in range(len(items) - 1, -1, -1):
-        if not reach[i] >> at & 1:
-            length, k = items[i]
-            chosen[length] += k
-            at -= length * k
+    while at:
+        length, k = items[by[at]]
+        chosen[length] += k
+        at -= length * k
     return dict(chosen)
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take for `budget` tokens, which is less than the source has."""
+    """How many documents of each length to take for `budget` tokens, which is less than the source has.
+
+    Each length gives a like share of its documents, and the dynamic program fills what remains. While that leaves a gap,
+    documents are handed back, twice as many of each length every time, until the budget is met or none is left to hand
+    back (the result is then the best there is) or the program would be wider than WIDTH.
+    """
     total = sum(s * n for s, n in counts.items())
     if not total or budget <= 0:
         return {}
-    took = {s: n * budget // total for s, n in counts.items()}
-    rest = budget - sum(s * n for s, n in took.items())
-    for s in sorted(counts, reverse=True):  # what rounding left over, down to what the dynamic program can hold
-        while rest - s > KNAPSACK // 2 and took[s] < counts[s]:
-            n = min(counts[s] - took[s], max(1, (rest - KNAPSACK // 2) // s // len(counts)))
-            took[s] += n
-            rest -= n * s
-    for s, n in knapsack({s: n - took[s] for s, n in counts.items() if n > took[s]}, min(rest, KNAPSACK)).items():
-        took[s] += n
-    return {s: n for s, n in took.items() if n}
+    even = {s: n * budget // total for s, n in counts.items()}
+    best: dict[int, int] = {}
+    gap, back = budget + 1, 0
+    while True:
+        kept = {s: max(0, n - back) for s, n in even.items()}
+        rest = budget - sum(s * n for s, n in kept.items())
+        if rest > WIDTH and best:
+            break
+        took = knapsack({s: n - kept[s] for s, n in counts.items() if n > kept[s]}, rest)
+        left = rest - sum(s * n for s, n in took.items())
+        if left < gap:
+            gap, best = left, {s: n + took.get(s, 0) for s, n in kept.items()}
+        if not gap or not any(kept.values()):
+            break
+        back = max(1, back * 2)
+    return {s: n for s, n in best.items() if n}
 
 
 def _plan(sizes: DataFrame, targets: DataFrame):
     """Per source: (target, budget, whole passes, {length: documents used once more}), and the largest count."""
     goals = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.collect()}
     hist: dict[str, dict[int, int]] = defaultdict(dict)
-    known = sizes.where("tokens > 0").join(F.broadcast(targets.select("source")), "source", "left_semi")
+    known = sizes.where("tokens > 0").join(broadcast_if_small(targets.select("source")), "source", "left_semi")
     for r in known.groupBy("source", "tokens").count().collect():
         hist[r["source"]][r["tokens"]] = r["count"]
     have = {s: sum(a * n for a, n in h.items()) for s, h in hist.items()}
@@ -87,9 +108,9 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     plan, largest = _plan(sizes, targets)
     base = spark.createDataFrame([(s, p) for s, (_, _, p, _) in plan.items()], "source string, passes long")
     more = spark.createDataFrame([(s, a, n) for s, (*_, e) in plan.items() for a, n in e.items()], "source string, tokens long, extra long")
-    rows = sizes.where("tokens > 0").join(F.broadcast(base), "source").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    rows = sizes.where("tokens > 0").join(broadcast_if_small(base), "source").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
     ranks = ranked(rows, ["source", "tokens"], ["_h", "doc_id"], largest)
-    joined = ranks.join(F.broadcast(more), ["source", "tokens"], "left")
+    joined = ranks.join(broadcast_if_small(more), ["source", "tokens"], "left")
     copies = F.col("passes") + (F.col("rank") < F.coalesce("extra", F.lit(0))).cast("long")
     return joined.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
 

@@ -45,7 +45,7 @@ _BLANK_LINES = rf"(?:^{_BL}{_NL}|{_NL})(?:{_BL}{_NL})+(?:{_BL}$)?|^{_BL}{_NL}|{_
 
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
-_FIELD = r"""^[\s"''*_]*\p{L}[\p{L}\p{M}\p{N} _.\-]{0,39}["''*_]*\s*(?:=>|[:=])\s*(.*)$"""
+_FIELD = r"""^[\s"''*_]*\p{L}[\p{L}\p{M}\p{N} _.\-]*["''*_]*\s*(?:=>|[:=])\s*(.*)$"""
 
 
 def _folded(t: str) -> str:
@@ -53,8 +53,8 @@ def _folded(t: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({t}, '[\p{{P}}\p{{S}}]+', '', 'g'), '{_WS}+', ' ', 'g'))"
 
 
-def _same_fields() -> str:
-    """(keep_id, row_id) of equal canonical forms; fields as sorted name/value pairs."""
+def _same_fields(result: str) -> str:
+    """`result` from b (row_id, k), k being canonical forms; fields as sorted name/value pairs."""
     pair = rf"""lambda p: {_folded(r"regexp_extract(p, '^([^:=]*?)\s*(?:=>|[:=])', 1)")} || chr(2) || {_folded(f"regexp_extract(p, '{_FIELD}', 1)")}"""
     parts = f"list_filter(regexp_split_to_array(text, '[\\n\\r\\x{{2028}}\\x{{2029}};|]+'), lambda p: regexp_matches(p, '[^' || '{_WS[1:-1]}' || ']'))"
     objects = r"""regexp_extract_all(text, '"[^"]*"\s*:\s*"[^"]*"')"""
@@ -62,7 +62,7 @@ def _same_fields() -> str:
     return rf"""WITH a AS (SELECT row_id, text, {parts} AS parts, CASE WHEN regexp_matches(text, '^\s*\{{') THEN {objects} ELSE [] END AS obj FROM parquet_keeper WHERE text IS NOT NULL),
         b AS (SELECT row_id, CASE WHEN len(obj) > 0 THEN chr(1) || array_to_string(list_sort(list_transform(obj, {pair})), chr(1))
             WHEN len(parts) > 1 AND {bad} = 0 THEN chr(1) || array_to_string(list_sort(list_transform(parts, {pair})), chr(1)) ELSE {_folded("text")} END AS k FROM a)
-        SELECT * FROM (SELECT min(row_id) OVER (PARTITION BY k) AS keep_id, row_id FROM b WHERE regexp_matches(k, '[\p{{L}}\p{{N}}]')) WHERE keep_id <> row_id"""
+        {result}"""
 
 
 # What looks alike, written out for the SQL apart from the operator's own tables: code points and what they look like.
@@ -135,8 +135,10 @@ _NEAR = r"""WITH norm AS (SELECT sent_id, split, source, trim(regexp_replace(reg
 
 def oracle_sql() -> dict[str, str]:
     longest = lambda pattern: f"list_max(list_transform(regexp_split_to_array(text, '{pattern}'), lambda x: length(x)))"
+    shows = r"regexp_matches(k, '[\p{L}\p{N}]')"
     return {
-        "p4_found": _same_fields(),
+        "p4_found": _same_fields(rf"SELECT * FROM (SELECT min(row_id) OVER (PARTITION BY k) AS keep_id, row_id FROM b WHERE {shows}) WHERE keep_id <> row_id"),
+        "p4_collapsed": _same_fields(f"SELECT min(row_id) AS keep_id, count(*) AS copies FROM b WHERE {shows} GROUP BY k"),
         "p6_found": _same_look(),
         "p6_links": _links(),
         "p6_normalized": _one_look(),
