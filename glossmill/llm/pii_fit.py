@@ -23,7 +23,7 @@ import numpy as np
 from . import pii
 from .pii_examples import annotate, sentence, varied
 
-DOCUMENTS, STEPS, SIZE, EMBED, LENGTH, BATCH, RATE = 10_000, 12_000, 32, 24, 128, 32, 4e-3
+DOCUMENTS, STEPS, SIZE, EMBED, LENGTH, BATCH, RATE = 10_000, 9_000, 32, 24, 128, 32, 4e-3
 
 
 def _lstm(x, table, wh):

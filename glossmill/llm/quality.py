@@ -1,8 +1,8 @@
 """Text quality statistics of each document and a verdict that keeps running text apart from lists, tables and junk.
 
 All statistics are counted over the whole text, many texts at a time. A Gaussian mixture over the standardized statistics gives
-the verdict: it was fitted by expectation-maximization (`quality_fit`), its components mapped to kinds by inspected
-examples, and its parameters are read from `quality_model.json`.
+the verdict: it was fitted by expectation-maximization (`quality_fit`) without knowing of kinds, its components were then
+mapped to kinds by inspected examples, and all of that is read from `quality_model.json`.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ i a w na z do że bo ale oraz obok dla przy koło chociaż gdy jest nie się
 के की का में है और से
 ثم قرب في من على و
 և է
+he she they we you his her their my this these those be been are were have has had will would can could at by from about into
+le la les un une des du et est dans que qui pour pas il elle sur avec el los las una y en es por con no se su il lo gli di che
+kur jau dar labai savo jis ji jie mes aš tu jų jo čia ten kas
+мы вы он она они это был была было быть если чтобы
 """.split()
 #: Characters of text that are counted at once.
 CHUNK = 4_000_000
@@ -59,6 +63,7 @@ FEATURES = {
     "part_words": lambda x: np.log(np.clip(x, 0.5, 12)),
     "short_share": None,
     "comma_words": lambda x: np.log(np.clip(x, 0.5, 12)),
+    "tight_share": np.sqrt,
 }
 
 
@@ -74,23 +79,27 @@ def features(stats: pd.DataFrame) -> np.ndarray:
 def model() -> dict:
     m = json.loads(MODEL.read_text())
     d = len(m["features"])
-    whiten = np.zeros((len(m["kinds"]), d, d))
+    whiten = np.zeros((len(m["weight"]), d, d))
     for k, rows in enumerate(m["whiten"]):
         for i, row in enumerate(rows):
             whiten[k, i, : i + 1] = row
     base = np.log(np.array(m["weight"]) + 1e-12) + np.log(np.abs(np.diagonal(whiten, axis1=1, axis2=2))).sum(1)
-    return {k: np.array(m[k]) for k in ("center", "scale", "kinds", "mean")} | {"whiten": whiten, "base": base}
+    shift = np.einsum("kij,kj->ki", whiten, np.array(m["mean"]))
+    return {k: np.array(m[k]) for k in ("center", "scale", "kinds")} | {"whiten": whiten, "base": base, "shift": shift}
 
 
-def kinds(stats: pd.DataFrame) -> np.ndarray:
-    """The kind with the largest share of the mixture at each row."""
-    m = model()
+def shares(stats: pd.DataFrame, m: dict | None = None) -> np.ndarray:
+    """The share of each component of the mixture at each row."""
+    m = m or model()
     z = (features(stats) - m["center"]) / m["scale"]
-    log = np.stack([b - 0.5 * (((z - mu) @ w.T) ** 2).sum(1) for b, mu, w in zip(m["base"], m["mean"], m["whiten"])], 1)
-    log -= log.max(1, keepdims=True)
-    share = np.exp(log)
-    by = np.stack([share[:, m["kinds"] == k].sum(1) for k in KINDS], 1)
-    return np.array(KINDS)[by.argmax(1)]
+    log = np.stack([b - 0.5 * ((z @ w.T - s) ** 2).sum(1) for b, s, w in zip(m["base"], m["shift"], m["whiten"])], 1)
+    share = np.exp(log - log.max(1, keepdims=True))
+    return share / share.sum(1, keepdims=True)
+
+
+def kinds(stats: pd.DataFrame) -> np.ndarray:
+    """The kind that the components at each row speak for, each as far as its inspected examples are of that kind."""
+    return np.array(KINDS)[(shares(stats) @ model()["kinds"]).argmax(1)]
 
 
 @lru_cache(maxsize=1)
@@ -118,18 +127,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 SPACE, SYMBOL, LETTER, NUMBER, BREAK, MARK, CLOSE, CODE, BROKEN, PART, CONSONANT, BULLET, UNSPACED = (1 << k for k in range(13))
 
 
-@lru_cache(maxsize=1)
-def _powers() -> np.ndarray:
-    return np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], np.uint64)
+def _powers(n: int) -> np.ndarray:
+    """One odd factor for each of n places in a word, so a word's hash is a sum."""
+    return np.multiply.accumulate(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def _hash(word: str) -> np.uint64:
-    return (np.array([ord(c) for c in word], np.uint64) * _powers()[: len(word)]).sum(dtype=np.uint64)
+    return (np.array([ord(c) for c in word], np.uint64) * _powers(len(word))).sum(dtype=np.uint64)
 
 
 @lru_cache(maxsize=1)
 def _common() -> np.ndarray:
-    return np.sort(np.array([_hash(w) for w in set(COMMON) if len(w) < 64], np.uint64))
+    return np.sort(np.array([_hash(w) for w in set(COMMON)], np.uint64))
 
 
 def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +171,7 @@ def _count(texts: list[str]) -> dict[str, np.ndarray]:
     r0, r1 = _runs((cls & (LETTER | NUMBER)) != 0)
     inside = np.arange(len(codes)) - np.repeat(np.concatenate([[0], r0]), np.diff(np.concatenate([[0], r0, [len(codes)]])))
     keep = (cls & (LETTER | NUMBER)) != 0
-    product = np.where(keep, lower[codes].astype(np.uint64) * _powers()[np.minimum(inside, 63)], np.uint64(0))
+    product = np.where(keep, lower[codes].astype(np.uint64) * _powers(int(inside[keep].max(initial=0)) + 1)[np.where(keep, inside, 0)], np.uint64(0))
     hashes = np.add.reduceat(product, r0) if len(r0) else np.zeros(0, np.uint64)
     run_docs = of(r0)
     common = _common()
@@ -210,7 +219,8 @@ def _count(texts: list[str]) -> dict[str, np.ndarray]:
             numbered &= digit(o + j)
         bullet |= numbered
 
-    # a part is a named field if a short name without other signs stands before its first `:` or `=`
+    # a part is a named field if a name of at most five words without other signs stands before its first `:` or `=`
+    wordcount = np.concatenate([[0], np.cumsum(np.bincount(w0, minlength=len(codes)))])
     signs = np.concatenate([[0], np.cumsum(((cls & (SYMBOL | NUMBER)) != 0) & (codes != 34) & (codes != 39) & (codes != 123) & (codes != 95))])
     quoted = np.flatnonzero((codes == 44) & np.concatenate([[False], codes[:-1] == 34]))  # `",` parts fields of an object
     f0 = np.concatenate([p0, quoted + 1]).astype(np.int64)
@@ -218,10 +228,9 @@ def _count(texts: list[str]) -> dict[str, np.ndarray]:
     colon = np.flatnonzero((codes == 58) | (codes == 61))
     c = colon[np.minimum(np.searchsorted(colon, f0), len(colon) - 1)] if len(colon) else np.full(len(f0), len(codes))
     after = np.concatenate([f0[1:], [len(codes)]])
-    named = (c < after) & (c - f0 <= 36) & (c > f0) & (signs[np.minimum(c, len(codes))] == signs[f0])
+    named = (c < after) & (wordcount[np.minimum(c, len(codes))] - wordcount[f0] <= 5) & (c > f0) & (signs[np.minimum(c, len(codes))] == signs[f0])
     fields = per(f0[named])
 
-    wordcount = np.concatenate([[0], np.cumsum(np.bincount(w0, minlength=len(codes)))])
     unspaced = np.concatenate([[0], np.cumsum((cls & UNSPACED) != 0)])
     longs = np.bincount(p_docs[(wordcount[p1] - wordcount[p0] >= 5) | (unspaced[p1] - unspaced[p0] >= 12)], minlength=n_docs)
     g0, g1 = _runs(codes == 32)
@@ -249,6 +258,7 @@ def _count(texts: list[str]) -> dict[str, np.ndarray]:
         "part_words": words / np.maximum(1, parts),
         "short_share": np.where(parts > 0, 1 - share(longs, parts), 0.0),
         "comma_words": words / (total(((codes == 44) | (codes == 0x60C) | (codes == 0x3001) | (codes == 0xFF0C)) & spaced) + 1),
+        "tight_share": share(total((codes == 44) & ~spaced), 2 * lines),
         "latin_share": share(total((((codes | 32) >= 97) & ((codes | 32) <= 122)) | ((codes >= 0xC0) & (codes < 0x250))), has(LETTER)),
     }
 

@@ -1,18 +1,18 @@
 """Sentence boundaries in many languages and scripts.
 
-Each character is tagged as the first of a sentence or as inside one, by a linear-chain model with Viterbi decoding.
-Only a character after a sentence mark, a line break, a gap in a script without marks, a gap before a capital, or any
-gap in a stretch without a sentence-final mark can be a first one, so scores are computed there and everywhere else the
-tag is fixed. The weights were learned by `sentences_fit` from marked text and from the same text with all or most of
-its marks stripped or its case changed; they are read from `sentences_model.json`.
+Each character is tagged as the first of a sentence or as inside one, by a linear-chain model with Viterbi decoding. Every
+character that can be the first of a word is scored, in every text: the ones after any gap, after any sentence mark, and
+each one in scripts that write words without gaps. Characters within a word can't begin a sentence, so their tag is
+inside. The weights were learned by `sentences_fit` from marked text and from the same text with all or most of its marks
+stripped or its case changed; they are read from `sentences_model.json`.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import sys
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -27,41 +27,22 @@ MODEL = Path(__file__).with_name("sentences_model.json")
 MARKS = ".!?…。！？।։؟"
 #: Scripts whose sentences have no marks: there a gap may end a sentence.
 GAPPED = r"\u0e00-\u0eff\u1780-\u17ff"
+#: Scripts that write words without gaps: every character may begin a word (but for Thai signs that stand on others).
+UNSPACED = r"\u0e01-\u0e2f\u0e40-\u0e44\u0e81-\u0eb0\u1000-\u102a\u1780-\u17b3\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 DASHES = "-–—―"
 _BREAK = re.compile(r"\r\n|[\n\r\u2028\u2029]")
 _CLOSE, _OPEN = "\"'”»」』)]’", "\"'«「『([„‚"
-_WORD = re.compile(r"\S+")
+_WORD = re.compile(r"\S{1,40}")
 #: A mark that can end a sentence: white space or the text's end follows, and more than one letter or digit comes before.
 _FINAL = re.compile(rf"[。！？।։؟]|(?<!\b\w)[.!?…]+[{re.escape(_CLOSE + '“')}]*(?=\s|$)")
-#: Characters between two such marks from which on every gap between them may begin a sentence.
-STRETCH = 240
 
 
-def _upper() -> str:
-    """Capitals as ranges of a character class."""
-    out: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
-        if chr(c).isupper() or chr(c).istitle():
-            if out and out[-1][1] == c - 1:
-                out[-1][1] = c
-            else:
-                out.append([c, c])
-    return "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in out)
-
-
-_CAPITAL = rf"(?:[{re.escape(_OPEN + '“' + DASHES)}]\s*){{0,4}}[{_upper()}]"
-_AT_CAPITAL = re.compile(_CAPITAL)
-
-
-@lru_cache(maxsize=8)
-def _candidates(low_quotes: bool, gaps: str) -> re.Pattern:
-    """gaps: `all`, those before a `capital`, or `none` but breaks and those of scripts without marks."""
+@lru_cache(maxsize=2)
+def _candidates(low_quotes: bool) -> re.Pattern:
+    """A mark with what closes it and its gap, a gap, or a place before a character of a script without gaps."""
     close = re.escape(_CLOSE + ("“" if low_quotes else ""))
     marks = re.escape(MARKS)
-    kinds = [rf"[{marks}](?:[{marks}]|[{close}])*\s*", r"\s*[\n\r\u2028\u2029]\s*", rf"(?<=[{GAPPED}])\s+|\s+(?=[{GAPPED}])"]
-    if gaps != "none":
-        kinds.append(r"\s+" if gaps == "all" else rf"\s+(?={_CAPITAL})")
-    return re.compile("|".join(kinds))
+    return re.compile(rf"[{marks}](?:[{marks}]|[{close}])*\s*|\s+|(?<=\S)(?=[{UNSPACED}])")
 
 
 def _spans(text: str, low_quotes: bool) -> list[tuple[int, int]]:
@@ -115,67 +96,102 @@ def _after(text: str, at: int) -> str:
 
 
 def _far(n: int) -> str:
-    return "0" if n < 40 else "1" if n < 120 else "2" if n < STRETCH else "3" if n < 600 else "4"
+    return "0" if n < 15 else "1" if n < 40 else "2" if n < 90 else "3" if n < 180 else "4" if n < 400 else "5"
+
+
+@lru_cache(maxsize=100_000)
+def _plain(c: str) -> str:
+    return _kind(c)
+
 
+def _inside(text: str, at: int, spans: list[tuple[int, int]], ends: list[int]) -> str:
+    """Whether `at` lies in a quotation or brackets, and what follows them."""
+    i = bisect_left(ends, at)
+    if i == len(spans) or not spans[i][0] < at <= spans[i][1]:
+        return "out"
+    j = spans[i][1] + 1
+    while j < len(text) and text[j].isspace():
+        j += 1
+    tight = "tight+" if j == spans[i][1] + 1 else ""
+    return "in:" + tight + _after(text, j) + (":mark" if text[spans[i][1] - 1 : spans[i][1]] in MARKS else "")
 
-def _capitals(text: str, begin: int, head: int, at: int) -> str:
-    """Whether the words before a gap, after it and next to that one have a capital: names often have two in a row."""
-    words = [text[begin:head], *text[at : at + 40].split(None, 2)[:2]]
-    return "".join("C" if w.lstrip("\"'„“«([「")[:1].isupper() else "c" for w in words)
+
+def places(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(at, head, got, kind, inside) of the offsets that may begin a sentence, the text's first one aside: where what precedes
+    them begins, what that is, what comes there, and how it lies in quotations."""
+    low_quotes = "„" in text
+    spans = _spans(text, low_quotes)
+    ends = [e for _, e in spans]
+    first = last = len(text) - len(text.lstrip())
+    for m in _candidates(low_quotes).finditer(text):
+        at = m.end()
+        if at >= len(text) or m.start() < first or at == last:
+            continue
+        last = at
+        c = _plain(text[at])
+        yield at, m.start(), m[0], _after(text, at) if c in ("open", "dash") else c, _inside(text, at, spans, ends) if spans else "out"
 
 
 def observed(text: str) -> list[tuple[int, list[str]]]:
     """The offsets that may begin a sentence, with what the model sees there; the text's first one isn't among them."""
-    low_quotes = "„" in text
     finals = [m.start() for m in _FINAL.finditer(text)]
     edges = [0, *finals, len(text)]
     dense = "none" if not finals else _far(len(text) // len(finals))
-    every = not finals or max(b - a for a, b in zip(edges, edges[1:])) >= STRETCH
     case = "none" if text.lower() == text else "all" if text.upper() == text and any(c.isupper() for c in text) else "mixed"
-    spans = _spans(text, low_quotes)
-    ends = [e for _, e in spans]
-    first = len(text) - len(text.lstrip())
     out = []
-    for m in _candidates(low_quotes, "all" if every else "capital" if case == "mixed" else "none").finditer(text):
-        at = m.end()
-        if at >= len(text) or m.start() < first or at == first:
-            continue
-        got = m[0]
+    passed = 0  # a token is looked at back to the place before, so a long one isn't read again and again
+    for at, head, got, nxt, inside in places(text):
         marks = got.rstrip()
-        k = bisect_right(finals, at)
-        back, ahead = at - edges[k], edges[k + 1] - at
-        if every and not marks and finals and back + ahead < STRETCH and not _BREAK.search(got) and not (case == "mixed" and _AT_CAPITAL.match(text, at)):
-            if not re.match(f"[{GAPPED}]", text[at]) and not re.match(f"[{GAPPED}]", text[m.start() - 1 : m.start()]):
-                continue
+        k = bisect_right(finals, at - 1)
+        back, ahead = _far(at - edges[k]), _far(edges[k + 1] - at)
+        if not got:  # within a script without gaps
+            a, b = text[at - 1], text[at]
+            a2, b2 = text[max(0, at - 2) : at], text[at : at + 2]
+            same = a if _plain(a) != "alpha" else "w"
+            out.append((at, ["c", f"ca={a}", f"cb={b}", f"cA={a2}", f"cB={b2}", f"cab={a}{b}", f"cd={back},{ahead},{dense}", f"cs={same},{dense}", f"i={inside},c", f"c3={text[max(0, at - 3) : at]}", f"ce={a2},{back}", f"cf={b2},{back}"]))
+            continue
         gap = got[len(marks) :]
-        breaks = len(_BREAK.findall(gap))
+        breaks = len(_BREAK.findall(gap)) if gap != " " else 0
         gap_kind = "blank" if breaks > 1 else "line" if breaks else "space" if gap else "none"
-        mark = "" if not marks else "ell" if marks[0] == "…" or marks.startswith("..") else marks[0]
-        closed = "closed" if marks and marks[-1] not in MARKS else "bare"
-        head = m.start()
         begin = head
-        while begin > 0 and not text[begin - 1].isspace() and head - begin < 16:
+        while begin > passed and not text[begin - 1].isspace():
             begin -= 1
+        passed = head
         token = text[begin:head].lstrip("\"'„“«([「").lower()
         last = text[head - 1 : head] if head else ""
-        before = text[max(0, begin - 12) : begin].split()
-        prior = before[-1].lower() if before else ""
         shape = "digit" if token.isdigit() else "one" if len(token) == 1 else "dotted" if "." in token else "short" if len(token) < 4 else "long"
         if shape == "one" and text[begin:head][-1:].isupper():
             shape = "initial"
-        nxt = _after(text, at)
         word = _WORD.match(text, at)
         word = word[0].strip("\"'„“«(").lower().rstrip(".,:;!?")[:12] if word else ""
-        i = bisect_left(ends, at)
-        inside = "out"
-        if i < len(spans) and spans[i][0] < at <= spans[i][1]:
-            j = spans[i][1] + 1
-            while j < len(text) and text[j].isspace():
-                j += 1
-            tight = "tight+" if j == spans[i][1] + 1 else ""
-            follow = _after(text, j)
-            inside = "in:" + tight + follow + (":mark" if text[spans[i][1] - 1 : spans[i][1]] in MARKS else "")
         cased = "cased" if last.isupper() or last.islower() or last.isdigit() else _kind(last)
+        if not marks:
+            after = text[at : at + 80].split(None, 2)[1:2]
+            caps = "".join("C" if w.lstrip("\"'„“«([「")[:1].isupper() else "c" for w in (text[begin:head], text[at : at + 24], *after))
+            out.append(
+                (
+                    at,
+                    [
+                        f"g={gap_kind},{case}",
+                        f"u={dense},{nxt},{gap_kind},{case},{cased}",
+                        f"i={inside},n",
+                        f"b={gap_kind == 'blank'},{nxt}",
+                        f"d={back},{ahead},{dense},{nxt}",
+                        f"s={back},{nxt},{case}",
+                        f"x={word},{nxt},{case}",
+                        f"y={token[-5:]},{nxt},{case}",
+                        f"z={shape},{caps},{nxt},{case}",
+                        f"xy={token[-3:]},{word[:5]},{case}",
+                        f"xd={word[:8]},{back},{dense}",
+                        f"e={last},{nxt},{dense}",
+                    ],
+                )
+            )
+            continue
+        mark = "ell" if marks[0] == "…" or marks.startswith("..") else marks[0]
+        closed = "closed" if marks[-1] not in MARKS else "bare"
+        before = text[max(0, begin - 12) : begin].split()
+        prior = before[-1].lower() if before else ""
         tight = "t" if not gap else "g"
         out.append(
             (
@@ -186,14 +202,12 @@ def observed(text: str) -> list[tuple[int, list[str]]]:
                     f"m={mark},{closed},{nxt},{gap_kind}",
                     f"m={mark},{nxt},{shape},{case}",
                     f"m={mark},{shape},{tight},{nxt}",
-                    f"i={inside},{mark != ''}",
+                    f"i={inside},m",
                     f"i={inside},{nxt},{closed}",
                     f"t={token[:10]},{mark == '.'},{nxt if case == 'mixed' else case}" if len(token) < 9 and mark == "." else f"t=long,{mark},{nxt}",
                     f"p={prior if len(prior) < 4 else 'w'},{token if len(token) < 4 else 'w'},{nxt}" if mark == "." else f"p,{mark}",
                     f"w={word},{shape}" if mark == "." and shape in ("digit", "one", "initial") else f"w,{mark},{shape}",
-                    f"b={gap_kind == 'blank'},{mark != ''},{nxt}",
-                    f"u={dense},{nxt},{gap_kind},{case},{cased}" if not mark else "u",
-                    *([] if mark else [f"d={_far(back)},{_far(ahead)},{dense},{nxt}", f"s={_far(back + ahead)},{nxt},{case}", f"x={word},{nxt},{case}", f"y={token[-5:]},{nxt},{case}", f"z={shape},{_capitals(text, begin, head, at)},{nxt},{case}"]),
+                    f"b={gap_kind == 'blank'},m,{nxt}",
                 ],
             )
         )

@@ -2,11 +2,13 @@
 
     python -m glossmill.llm.sentences_fit FOLDER
 
-The texts are at most TEXTS rows of parquet_keeper in FOLDER with sentence marks in almost every line. `annotate` marks
-their sentences by the conventions for clean text; its output was read through by hand and corrected until none of
-a few hundred texts was wrong. Each text is learned as it is and in copies that carry its sentences over to harder
-forms: lower case, capitals, marks stripped, other gaps. Stripped copies are what teaches text without marks; most keep
-what stands inside web addresses, decimals and abbreviations, and some keep a few of the real marks.
+The texts are WRITTEN texts made of sentences written by hand (`sentences_examples`), whose boundaries are known, and at
+most TEXTS rows of parquet_keeper in FOLDER with sentence marks in almost every line. `annotate` marks the latter by the
+conventions for clean text; its output was read through by hand and corrected until none of a few hundred texts was
+wrong. Each text is learned as it is and in copies that carry its sentences over to harder forms: lower case, capitals,
+marks stripped (in scripts without gaps too), other gaps. Stripped copies are what teaches text without marks; most keep
+what stands inside web addresses, decimals and abbreviations, and some keep a few of the real marks. The shipped model was
+trained on /root/testdata/sf0.1.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import re
 import sys
 from collections import defaultdict
 
-from .sentences import GAPPED, MARKS, MODEL, decode, observed
+from .sentences import GAPPED, MARKS, MODEL, decode, observed, places
+from .sentences_examples import written
 
-TEXTS, PASSES = 6000, 4
+TEXTS, WRITTEN, PASSES = 6000, 1500, 5
 # Abbreviations that a name or number follows, so that a capital after them begins no sentence.
 TITLES = """prof dr p mr mrs ms hr fr st nr no ul ул g pr al pl św ks mgr inż doc hab inž akad gen kun im им проф акад гл рис см стр str žr fig vol ca ok np tzn m.in pvz plg e.g i.e approx bzw z b d.h vgl tel mob el sq art""".split()
 # German months, which are capitalised after a day with its point.
@@ -29,17 +32,17 @@ _AT = re.compile(rf"([{re.escape(MARKS)}]+)([\"'”“»」』)\]]*)(\s*)(?=\S)"
 
 def annotate(text: str) -> set[int]:
     """First characters of the sentences of a clean text by its conventions, without the text's own first one."""
-    seen = {at: feats for at, feats in observed(text)}
     nocase = text.lower() == text
     out = set()
-    for at, feats in seen.items():
+    for at, start, got, nxt, inside in places(text):
+        if not got or got == " " and not re.search(f"[{GAPPED}]", text[start - 1 : start]):
+            continue
         head = text[:at]
         if re.search(r"(?>\r\n|[\n\r\u2028\u2029])[^\S\n\r\u2028\u2029]*(?>\r\n|[\n\r\u2028\u2029])\s*$", head):
             out.add(at)
             continue
         m = re.search(rf"([{re.escape(MARKS)}]+)([\"'”“»」』)\]]*)(\s*)$", head)
-        inside = next(f for f in feats if f.startswith("i="))
-        goes_on = re.match(r"i=in:(?:tight\+)?(?:dash\+)*(?:lower|goes_on)|i=in:tight\+(?:alpha|lower)", inside)
+        goes_on = re.match(r"in:(?:tight\+)?(?:dash\+)*(?:lower|goes_on)|in:tight\+(?:alpha|lower)", inside)
         if not m:
             if re.search(rf"[{GAPPED}]\s+$", head) and not re.search(r"[\n\r]", head[len(head.rstrip()) :]):
                 out.add(at)
@@ -47,7 +50,6 @@ def annotate(text: str) -> set[int]:
         marks, close, gap = m.groups()
         if goes_on:
             continue
-        nxt = next(f for f in feats if f.startswith("m=")).split(",")[2]
         kind = nxt.split("+")[-1]
         before = head[: m.start()]
         token = re.search(r"[^\s\"'„“«(\[「]*$", before)[0]
@@ -97,7 +99,7 @@ def stripped(text: str, at: set[int], rng: random.Random) -> tuple[str, set[int]
             new.add(len(out))
         if i == add:
             out.extend(rng.choice(INNER) + " ")
-        if c not in MARKS + ",;:\"“”„«»":
+        if c not in MARKS + ",;:\"“”„«»，、；：「」『』":
             out.append(c)
             continue
         if c in MARKS and not (i and text[i - 1] in MARKS):  # a run of marks stays or goes as one
@@ -116,8 +118,11 @@ def copies(text: str, at: set[int], rng: random.Random):
     for change in (str.lower, str.upper):
         if len(change(text)) == len(text) and change(text) != text and rng.random() < 0.3:
             yield change(text), at
-    if re.search(r"[A-Za-zА-я]", text) and rng.random() < 0.8:
-        yield stripped(text, at, rng)
+    if rng.random() < (0.8 if re.search(r"[A-Za-zА-я]", text) else 0.5):
+        less, new = stripped(text, at, rng)
+        yield less, new
+        if less.lower() != less and len(less.lower()) == len(less) and rng.random() < 0.6:
+            yield less.lower(), new
     if rng.random() < 0.3:  # other gaps
         out, new = [], set()
         for i, c in enumerate(text):
@@ -132,8 +137,8 @@ def copies(text: str, at: set[int], rng: random.Random):
 def fit(texts: list[str], seed: int = 0) -> dict[str, float]:
     rng = random.Random(seed)
     rows = []
-    for t in texts:
-        for text, at in copies(t, annotate(t), rng):
+    for t, known in [(t, annotate(t)) for t in texts] + [written(rng) for _ in range(WRITTEN)]:
+        for text, at in copies(t, known, rng):
             seen = observed(text)
             if seen:
                 rows.append((seen, len(text) - len(text.lstrip()), {a for a, _ in seen} & at))
