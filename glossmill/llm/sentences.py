@@ -144,11 +144,14 @@ def observed(text: str) -> list[tuple[int, list[str]]]:
         marks = got.rstrip()
         k = bisect_right(finals, at - 1)
         back, ahead = _far(at - edges[k]), _far(edges[k + 1] - at)
+        # how far an unmarked sentence is to be expected: not a mark in the text, or so many characters between two
+        wide = edges[k + 1] - edges[k]
+        sure = "N" if not finals else "a" if wide < 90 else "b" if wide < 180 else "c"
         if not got:  # within a script without gaps
             a, b = text[at - 1], text[at]
             a2, b2 = text[max(0, at - 2) : at], text[at : at + 2]
             same = a if _plain(a) != "alpha" else "w"
-            out.append((at, ["c", f"ca={a}", f"cb={b}", f"cA={a2}", f"cB={b2}", f"cab={a}{b}", f"cd={back},{ahead},{dense}", f"cs={same},{dense}", f"i={inside},c", f"c3={text[max(0, at - 3) : at]}", f"ce={a2},{back}", f"cf={b2},{back}"]))
+            out.append((at, [f"c{sure}", f"ca={a}{sure}", f"cb={b}{sure}", f"cA={a2}{sure}", f"cB={b2}{sure}", f"cab={a}{b}{sure}", f"cd={back},{ahead},{dense}", f"cs={same},{dense},{ord(b) >> 7}", f"i={inside},c", f"c3={text[max(0, at - 3) : at]}{sure}", f"cg={back}{sure}"]))
             continue
         gap = got[len(marks) :]
         breaks = len(_BREAK.findall(gap)) if gap != " " else 0
@@ -167,6 +170,7 @@ def observed(text: str) -> list[tuple[int, list[str]]]:
         cased = "cased" if last.isupper() or last.islower() or last.isdigit() else _kind(last)
         if not marks:
             after = text[at : at + 80].split(None, 2)[1:2]
+            words = len(text[at : min(at + 80, edges[k + 1])].split(None, 3))  # up to the next mark
             caps = "".join("C" if w.lstrip("\"'„“«([「")[:1].isupper() else "c" for w in (text[begin:head], text[at : at + 24], *after))
             out.append(
                 (
@@ -178,12 +182,15 @@ def observed(text: str) -> list[tuple[int, list[str]]]:
                         f"b={gap_kind == 'blank'},{nxt}",
                         f"d={back},{ahead},{dense},{nxt}",
                         f"s={back},{nxt},{case}",
-                        f"x={word},{nxt},{case}",
-                        f"y={token[-5:]},{nxt},{case}",
-                        f"z={shape},{caps},{nxt},{case}",
-                        f"xy={token[-3:]},{word[:5]},{case}",
+                        f"x={word},{nxt},{case},{sure}",
+                        f"y={token[-5:]},{nxt},{case},{sure}",
+                        f"z={shape},{caps},{nxt},{case},{sure}",
+                        f"xy={token[-3:]},{word[:5]},{case},{sure}",
+                        f"w={ord(last or ' ') >> 7},{ord(text[at]) >> 7},{gap_kind},{sure}",
                         f"xd={word[:8]},{back},{dense}",
                         f"e={last},{nxt},{dense}",
+                        f"n={words},{nxt},{case},{sure}",
+                        f"nb={words},{back},{nxt},{sure}",
                     ],
                 )
             )

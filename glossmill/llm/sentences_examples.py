@@ -155,14 +155,28 @@ Potem zaczęła grać muzyka.""",
 }
 
 
+# Parts of Chinese sentences (who, when, what, how it ends), as its sentences can't be told by gaps.
+CHINESE = (
+    "我 你 他 她 我们 你们 他们 老师 妈妈 爸爸 弟弟 妹妹 朋友 医生 学生 孩子 小王 李先生 那个人 大家".split(),
+    "今天 昨天 明天 每天 早上 晚上 下午 现在 已经 常常 上个星期 去年 有时候".split() + [""] * 6,
+    "去商店 回家 看书 学习中文 喝茶 吃饭 写信 打电话 在家休息 去学校 坐火车 买东西 做饭 听音乐 看电影 跑步 上班 很高兴 很忙 不舒服 不想出门 没有来 住在北京 喜欢唱歌 会说英语 找不到钥匙".split(),
+    ["了", "了", "", "", "", "吗", "吧", "呢"],
+)
+
+
+def _chinese(rng: random.Random) -> str:
+    who, when, what, end = (rng.choice(x) for x in CHINESE)
+    return rng.choice([who + when, when + who]) + what + end + ("？" if end in ("吗", "呢") else rng.choice("。。。！"))
+
+
 def written(rng: random.Random) -> tuple[str, set[int]]:
     """A text of some sentences of one language, and where each but the first begins."""
-    lang = rng.choice([*WRITTEN, "zh", "ja", "lt", "lt"])
+    lang = rng.choice([*WRITTEN, "zh", "zh", "ja", "lt", "lt"])
     lines = WRITTEN[lang].split("\n")
     text, at = "", set()
     for k in range(rng.randrange(2, 12)):
         if k:
             text += "" if lang in ("zh", "ja") else rng.choice([" ", " ", " ", "\n"])
             at.add(len(text))
-        text += rng.choice(lines)
+        text += _chinese(rng) if lang == "zh" and rng.random() < 0.7 else rng.choice(lines)
     return text, at
