@@ -1,9 +1,9 @@
 """Personal data in free text, found by a character-level bidirectional LSTM with CRF transitions.
 
 Every character of every text goes through the network, in numpy, in overlapping windows of many documents at once. Each
-window is decoded by Viterbi; a character takes its tag from the window in whose inner part it lies. Where the tags of two
-windows don't join at their seam, the document's scores are put together and decoded as one sequence. Spans are then put on
-whole words; nothing is dropped or changed by its shape.
+window is decoded by Viterbi; a character takes its tag from the window in whose inner part it lies. Where the tags
+of two windows don't join at their seam, the document's scores are put together and decoded as one sequence. Spans are then
+put on whole words; nothing is dropped or changed by its shape.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tag 0 is outside; kind k has 1 + 2k for its first character and 2 + 2k for the others.
 TAGS = 1 + 2 * len(KINDS)
 #: Characters of a window, and those at each end that only give context.
-WINDOW, CONTEXT = 560, 48
+WINDOW, CONTEXT = 800, 40
 INNER = WINDOW - 2 * CONTEXT
 #: Characters of text in work at once, and windows that run at once.
 CHUNK, BATCH = 1_000_000, 256
@@ -43,11 +43,12 @@ def weights() -> dict[str, np.ndarray]:
     m["index"] = index_of(m["chars"])
     size = m["wh_f"].shape[0]
     # Gates: sigmoid(v) = (1 + tanh(v / 2)) / 2, so three of four get half of their input; the state is kept doubled.
-    scale = np.concatenate([np.full(3 * size, 0.5), np.ones(size)]).astype(np.float32)
-    for d in "fb":  # the input's share of the gates, once for each character of the vocabulary
-        m[f"table_{d}"] = np.ascontiguousarray((m["embed"] @ m[f"wx_{d}"] + m[f"b_{d}"]) * scale)
-        m[f"half_{d}"] = np.ascontiguousarray(m[f"wh_{d}"] * scale * 0.5)
-    m["out_f"], m["out_r"] = m["out"][:size] * 0.5, m["out"][size:] * 0.5
+    scale = np.concatenate([np.full(3 * size, 0.5), np.ones(size)])[:, None]
+    half = np.concatenate([np.ones(m["embed"].shape[1] + 1), np.full(size, 0.5)])
+    for d in "fb":  # from a character, 1 and the state to the gates
+        m[f"gates_{d}"] = np.ascontiguousarray(np.concatenate([m[f"wx_{d}"], m[f"b_{d}"][None], m[f"wh_{d}"]]).T * scale * half, np.float32)
+    m["out_f"], m["out_r"] = np.ascontiguousarray(m["out"][:size].T * 0.5), np.ascontiguousarray(m["out"][size:].T * 0.5)
+    m["columns"] = np.ascontiguousarray(m["embed"].T)
     return m
 
 
@@ -61,32 +62,39 @@ def index_of(chars: np.ndarray) -> np.ndarray:
     return index
 
 
-def _lstm(x: np.ndarray, first: np.ndarray, table: np.ndarray, wh: np.ndarray, backward: bool) -> np.ndarray:
-    """Doubled hidden states (time, batch, H) of one direction for characters (time, batch). At time t only the columns
-    from first[t] on are there: they are ordered by length, and none sees what lies beyond its own."""
+def _add_direction(e: np.ndarray, x: np.ndarray, first: np.ndarray, embed: np.ndarray, gates: np.ndarray, out: np.ndarray, backward: bool) -> None:
+    """Add what one direction says to the scores `e` (time, TAGS, batch) of characters `x` (time, batch).
+
+    At time t only the columns from first[t] on are there: they are ordered by length, and none sees what lies beyond its
+    own. The state stands below the input, so each step is one product, and all that a step needs stays in the cache.
+    """
     n, b = x.shape
-    size = wh.shape[0]
-    h, c = np.zeros((b, size), np.float32), np.zeros((b, size), np.float32)
-    z, y = np.empty((b, 4 * size), np.float32), np.empty((b, 4 * size), np.float32)
-    out = np.zeros((n, b, size), np.float32)
+    size = len(gates) // 4
+    wide = gates.shape[1] - size  # the input and 1
+    both = np.zeros((gates.shape[1], b), np.float32)
+    both[wide - 1] = 1.0
+    z, c, part = np.empty((4 * size, b), np.float32), np.zeros((size, b), np.float32), np.empty((TAGS, b), np.float32)
     for t in range(n - 1, -1, -1) if backward else range(n):
         k = first[t]
-        g = z[k:]
-        np.take(table, x[t, k:], 0, g, "clip")
-        np.matmul(h[k:], wh, y[k:])
-        g += y[k:]
+        if k:
+            both[: wide - 1, k:] = np.take(embed, x[t, k:], 1, mode="clip")
+            g, cell, h, y = z[:, k:], c[:, k:], both[wide:, k:], part[:, k:]
+            np.matmul(gates, both[:, k:], g)
+        else:
+            np.take(embed, x[t], 1, both[: wide - 1], "clip")
+            g, cell, h, y = z, c, both[wide:], part
+            np.matmul(gates, both, g)
         np.tanh(g, g)
-        g[:, : 3 * size] += 1.0
-        cell = c[k:]
-        cell *= g[:, size : 2 * size]
-        new = g[:, :size]
-        new *= g[:, 3 * size :]
+        g[: 3 * size] += 1.0
+        new = g[:size]
+        new *= g[3 * size :]
+        cell *= g[size : 2 * size]
         cell += new
         cell *= 0.5
-        np.tanh(cell, h[k:])
-        h[k:] *= g[:, 2 * size : 3 * size]
-        out[t, k:] = h[k:]
-    return out
+        np.tanh(cell, h)
+        h *= g[2 * size : 3 * size]
+        np.matmul(out, h, y)
+        e[t, :, k:] += y
 
 
 def _first(n: int, lengths: np.ndarray) -> np.ndarray:
@@ -94,21 +102,22 @@ def _first(n: int, lengths: np.ndarray) -> np.ndarray:
 
 
 def scores(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Tag scores (time, batch, TAGS) of characters (time, batch) in columns of ascending lengths."""
+    """Tag scores (time, TAGS, batch) of characters (time, batch) in columns of ascending lengths, so that whole rows of the
+    batch are together."""
     m, first = weights(), _first(len(x), lengths)
-    f = _lstm(x, first, m["table_f"], m["half_f"], False)
-    e = f.reshape(-1, f.shape[2]) @ m["out_f"]
-    b = _lstm(x, first, m["table_b"], m["half_b"], True)
-    e += b.reshape(-1, f.shape[2]) @ m["out_r"]
-    e += m["out_b"]
-    return e.reshape(*x.shape, -1)
+    e = np.empty((len(x), TAGS, x.shape[1]), np.float32)
+    e[:] = m["out_b"][:, None]
+    for d, out in (("f", "out_f"), ("b", "out_r")):
+        _add_direction(e, x, first, m["columns"], m[f"gates_{d}"], m[out], d == "b")
+    return e
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best tags (time, batch) of scores (time, batch, TAGS) in columns of ascending lengths; trans[i, j] is added from tag i
-    to tag j. The inner tag of a kind follows its own two tags only. Beyond its length a column repeats its last tag."""
-    n, b, _ = e.shape
-    score = np.ascontiguousarray(e.transpose(0, 2, 1))  # tags first, so that maxima run over whole rows of the batch
+    """Best tags (time, batch) of scores (time, TAGS, batch) in columns of ascending lengths; trans[i, j] is added from tag i
+    to tag j. The inner tag of a kind follows its own two tags only. Beyond its length a column repeats its last tag. The
+    scores are used up."""
+    n, _, b = e.shape
+    score = e
     first = _first(n, lengths)
     enter = np.ascontiguousarray(trans[:, _FIRSTS])[:, :, None]
     on, stay = trans[_FIRSTS[1:], _FIRSTS[1:] + 1][:, None], trans[_FIRSTS[1:] + 1, _FIRSTS[1:] + 1][:, None]
@@ -134,6 +143,24 @@ def viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray
     return out
 
 
+def may_be_inside(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The columns of what `scores` gives that need a search; the others are certainly outside throughout.
+
+    Adding m[j], the best transition to tag j, to the scores of j and taking it off all transitions to j changes no path's
+    value, but for the first character. With that, no transition is worth anything, and d is what outside to outside lacks.
+    A stretch of other tags then gains at most the sum of (best other score - outside's score + d) over its characters,
+    and d. If that is negative by d at every character, every such stretch loses, so outside is the result of the search.
+    """
+    m = trans.max(0)
+    d = float(m[0] - trans[0, 0])
+    worth = e[:, 1] + m[1]
+    for k in range(2, TAGS):
+        np.maximum(worth, e[:, k] + m[k], worth)
+    worth -= e[:, 0] + m[0]
+    worth[0] += max(0.0, float(m[0])) + max(0.0, float(-m[1:].min()))  # the first character has no transition before it
+    return np.flatnonzero(((worth > -2 * d) & (np.arange(len(e))[:, None] < lengths)).any(0))
+
+
 def _windows(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """(start, inner start, inner end, end) of every window of every text, by length."""
     n = -(-sizes // INNER)
@@ -150,21 +177,41 @@ def _tags(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     m = weights()
     out = np.zeros(len(codes), np.int8)
     s, a, z, e = _windows(starts, sizes)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # windows to search and their scores
+
+    def search() -> None:
+        own = np.concatenate([w for w, _ in held])
+        lengths = e[own] - s[own]
+        block, k = np.zeros((int(lengths[-1]), TAGS, len(own)), np.float32), 0
+        for w, part in held:
+            block[: len(part), :, k : k + len(w)] = part
+            k += len(w)
+        best = viterbi(block, m["trans"], lengths)
+        for k, w in enumerate(own):
+            out[a[w] : z[w]] = best[a[w] - s[w] : z[w] - s[w], k]
+        held.clear()
+
     for i in range(0, len(s), BATCH):
-        own = slice(i, i + BATCH)
+        own = np.arange(i, min(i + BATCH, len(s)))
         lengths = e[own] - s[own]
-        at = s[own][None] + np.arange(lengths[-1])[:, None]
-        x = codes[np.minimum(at, len(codes) - 1)]
-        best = viterbi(scores(x, lengths), m["trans"], lengths)
-        inner = (at >= a[own]) & (at < z[own])
-        out[at[inner]] = best[inner]
+        x = np.zeros((len(own), int(lengths[-1])), codes.dtype)
+        for k, w in enumerate(own):
+            x[k, : lengths[k]] = codes[s[w] : e[w]]
+        y = scores(np.ascontiguousarray(x.T), lengths)
+        open_ = may_be_inside(y, m["trans"], lengths)
+        if len(open_):
+            held.append((own[open_], np.take(y, open_, 2)))
+        if sum(len(w) for w, _ in held) > 2 * BATCH:
+            search()
+    if held:
+        search()
     # seams where an inner tag follows another kind: those documents are decoded as one sequence
     inner = np.flatnonzero((out > 0) & (out % 2 == 0))
     left = out[inner - 1]
     broken = inner[~((left == out[inner]) | (left == out[inner] - 1)) | np.isin(inner, starts)]
     for d in np.unique(np.searchsorted(starts, broken, "right") - 1):
         lo, n = starts[d], sizes[d]
-        all_ = np.empty((n, 1, TAGS), np.float32)
+        all_ = np.empty((n, TAGS, 1), np.float32)
         for s1, a1, z1, e1 in zip(*_windows(np.zeros(1, np.int64), sizes[d : d + 1])):
             all_[a1:z1] = scores(codes[lo + s1 : lo + e1, None], np.array([e1 - s1]))[a1 - s1 : z1 - s1]
         out[lo : lo + n] = viterbi(all_, m["trans"], np.array([n]))[:, 0]
