@@ -48,6 +48,11 @@ def warmup(batch: Column, batches: float, start: float) -> Column:
     return F.when(batch >= batches, 1.0).otherwise(start + (1.0 - start) * batch / batches)
 
 
+def masked_mean(loss: Column, mask: Column) -> Column:
+    """The mean loss of the positions whose mask is 1, as an aggregate; null if there is none."""
+    return F.sum(F.when(mask == 1, loss)) / F.nullif(F.sum(F.when(mask == 1, 1).otherwise(0)), F.lit(0))
+
+
 def eden(base: float, batch: Column, epoch: Column, lr_batches: float, lr_epochs: float, warm: float = 500.0, start: float = 0.5) -> Column:
     b = F.pow((batch * batch + lr_batches**2) / lr_batches**2, F.lit(-0.25))
     e = F.pow((epoch * epoch + lr_epochs**2) / lr_epochs**2, F.lit(-0.25))

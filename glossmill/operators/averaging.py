@@ -18,6 +18,36 @@ def vector_mean(vectors: DataFrame, name: str, vector: str, integer: bool = Fals
     return rows.groupBy(name, "idx").agg(mean.alias("value"))
 
 
+def averaged(spark, paths: list[str]) -> DataFrame:
+    """(name, idx, value): the mean of saved checkpoints, tables of (name, values). A checkpoint that isn't there is an error,
+    and so is one that lacks a name that another has: the mean would be of fewer than was asked for. A name with the same
+    storage as another (column `shares`, if there is one) counts once, under the other's name."""
+    from pyspark.errors import AnalysisException
+
+    parts = []
+    for k, path in enumerate(paths):
+        try:
+            rows = spark.read.parquet(path)
+        except AnalysisException as e:
+            raise FileNotFoundError(f"no checkpoint at {path}") from e
+        rows = rows.where("shares is null") if "shares" in rows.columns else rows
+        parts.append(rows.select(F.lit(k).alias("_k"), "name", "values"))
+    if not parts:
+        raise ValueError("no checkpoint given")
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    lacking = every.groupBy("name").agg(F.count_distinct("_k").alias("n")).where(F.col("n") < len(paths)).limit(5).collect()
+    if lacking:
+        raise ValueError(f"not in every checkpoint: {', '.join(r['name'] for r in lacking)}")
+    return vector_mean(every, "name", "values")
+
+
+def parameter_count(tensors: DataFrame, values: str = "values") -> DataFrame:
+    """(tensors, parameters): how many tensors there are and how many numbers they hold."""
+    return tensors.agg(F.count(values).alias("tensors"), F.coalesce(F.sum(F.size(values)), F.lit(0)).cast("long").alias("parameters"))
+
+
 def checkpoints(batch: int, n: int, step: int = 1000) -> list[int]:
     """Which checkpoints are averaged: n of them up to `batch`, `step` apart."""
     return sorted(batch - i * step for i in range(n))

@@ -39,6 +39,15 @@ def batched(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     return n.withColumns({"batch_no": F.floor(F.col("_no") / size), "batch_pos": F.col("_no") % size}).drop("_no")
 
 
+def epoch_batches(rows: DataFrame, order: list[str], world: int, workers: int, size: int, seed: int, epoch: int) -> DataFrame:
+    """`rows` as the workers of all ranks read them in an epoch: `shard` (rank * workers + worker), `batch_no` and `batch_pos`
+    within it. Rows are dealt out by their number in `order`, so shards stay the same; an epoch only changes their order. All
+    sorting is distributed and no row is held in a buffer."""
+    keyed = sharded(rows, order, world, workers).withColumn("_key", epoch_key(F.concat_ws("-", *order), seed, epoch))
+    n = numbered(keyed, ["_key", *order], ["shard"], "_no")
+    return n.withColumns({"batch_no": F.floor(F.col("_no") / size), "batch_pos": F.col("_no") % size}).drop("_no", "_key")
+
+
 def by_length(rows: DataFrame, order: list[str], size: int, length: Column) -> DataFrame:
     """Batches with `rank` from 0 by descending length, ties in `order`."""
     b = batched(rows, order, size).withColumn("_len", length)
@@ -46,6 +55,17 @@ def by_length(rows: DataFrame, order: list[str], size: int, length: Column) -> D
     return b.withColumn("rank", rank).drop("_len")
 
 
+def first_features(docs: DataFrame, key: str, n: int, make) -> DataFrame:
+    """The feature rows `make(docs)` of the first documents by `key`, of enough of them that there are n rows (or of all)."""
+    most = n
+    while True:
+        last = docs.where(F.col(key).isNotNull()).select(key).orderBy(key).limit(most).agg(F.max(key), F.count("*")).first()
+        rows = make(docs.where(F.col(key) <= last[0])) if last[0] is not None else make(docs)
+        if last[1] < most or rows.limit(n).count() == n:
+            return rows
+        most *= 8
+
+
 def inspected(features: DataFrame, order: list[str], n: int, head: int = 12) -> DataFrame:
     """The first n feature rows with the heads of their arrays, as text, and the arrays' lengths."""
     arrays = [f.name for f in features.schema if f.dataType.typeName() == "array"]

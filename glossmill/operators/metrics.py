@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, tokens
@@ -29,6 +29,17 @@ def distribution(rows: DataFrame, label: str, text: str = "text") -> DataFrame:
     return both.select(named("label", names).alias("name"), "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("share"))
 
 
+def observed(rows: DataFrame, /, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """`rows`, and where its metrics stand once they have been read: figures of a run without a second pass."""
+    seen = Observation()
+    return rows.observe(seen, *[c.alias(n) for n, c in metrics.items()]), seen
+
+
+def write_metrics(frame: DataFrame, path: str, run: str) -> None:
+    """Append metrics as JSON lines with their run and time."""
+    frame.select(F.lit(run).alias("run"), F.current_timestamp().alias("at"), *frame.columns).write.mode("append").json(path)
+
+
 def latest(pairs: DataFrame) -> DataFrame:
     """One row for each (sent_id, word_pos, head): the one scored last, so positions scored twice count once."""
     last = pairs.groupBy("sent_id", "word_pos", "head").agg(F.max(F.struct("scored_at", "predicted", "expected")).alias("p"))

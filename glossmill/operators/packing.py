@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import tokens
 from ..functions.words import case_id, punctuation_id, split_word
+from ..plans.shared import broadcast_if_small
 
 # Ids of the special tokens, and by how much a sentence must be shorter than a row.
 PAD, BOS, EOS, FIRST_ID, MARGIN = 0, 1, 2, 4, 10
@@ -153,6 +154,18 @@ def valid_positions(valid: Column) -> Column:
     return F.filter(F.transform(valid, lambda v, i: F.when(v == 1, i)), lambda i: i.isNotNull())
 
 
+def nonpad_mask(ids: Column) -> Column:
+    """1 where a token stands, 0 where a row is padded."""
+    return F.transform(ids, lambda x: F.when(x != PAD, 1).otherwise(0))
+
+
+def embedded(tokens_: DataFrame, vectors: DataFrame, token: str, key: str, vector: str) -> DataFrame:
+    """`tokens_` with the vector of each token id; null where the table has none. A vocabulary is small and is sent to every
+    task; a larger table is joined by its key."""
+    table = vectors.select(F.col(key).alias("_key"), F.col(vector).alias("embedding"))
+    return tokens_.join(broadcast_if_small(table), F.col(token) == F.col("_key"), "left").drop("_key")
+
+
 def compacted(values: Column, valid: Column) -> Column:
     """The values at valid positions moved to the left; the rest is 0."""
     kept = F.transform(valid_positions(valid), lambda i: F.get(values, i))

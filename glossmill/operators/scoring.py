@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: From (token_ids, valid_ids) of n rows and their label lengths to case and punctuation scores (n, positions, labels).
-Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: From (token_ids, valid_ids) of n rows and their label lengths to case and punctuation scores (n, positions, labels), and
+#: maybe a mask (n, positions) of the positions that count.
+Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
 
 @lru_cache(maxsize=2)
@@ -32,7 +33,7 @@ class OnnxScorer:
     def __call__(self, ids: np.ndarray, valid: np.ndarray, lengths: np.ndarray):
         s = _session(self.path)
         names = [i.name for i in s.get_inputs()]
-        return tuple(s.run(None, dict(zip(names, (ids, valid, lengths))))[:2])
+        return tuple(s.run(None, dict(zip(names, (ids, valid, lengths)))))
 
 
 class HashScorer:
@@ -49,7 +50,7 @@ class HashScorer:
 def scored(features: DataFrame, keys: list[str], scorer: Scorer, batch: int = 512) -> DataFrame:
     """(keys, label_pos, case_id, punct_id): the best label of each word position; bos and eos are left out.
 
-    Rows keep their keys, so results are joined, never matched by position. Ties go to the first label.
+    Positions that the model's own mask leaves out have no label. Rows keep their keys, so results are joined, never matched by position. Ties go to the first label.
     """
     types = ", ".join(f"{k} {features.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -59,8 +60,9 @@ def scored(features: DataFrame, keys: list[str], scorer: Scorer, batch: int = 51
                 rows = part.iloc[a : a + batch]
                 ids, valid = (np.array(rows[c].tolist(), np.int32) for c in ("token_ids", "valid_ids"))
                 n = rows["label_len"].to_numpy(np.int64)
-                case, punct = (s.argmax(-1) for s in scorer(ids, valid, n))
-                at = [(r, p) for r in range(len(rows)) for p in range(1, n[r] - 1)]
+                case, punct, *mask = scorer(ids, valid, n)
+                case, punct = case.argmax(-1), punct.argmax(-1)
+                at = [(r, p) for r in range(len(rows)) for p in range(1, n[r] - 1) if not mask or mask[0][r, p]]
                 r, p = (np.array([x[i] for x in at], np.int64) for i in (0, 1))
                 out = rows[keys].iloc[r].reset_index(drop=True)
                 yield out.assign(label_pos=p - 1, case_id=case[r, p] if len(r) else [], punct_id=punct[r, p] if len(r) else [])

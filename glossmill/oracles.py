@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from .functions.words import ALPHABETS, CASE_NAMES, DROPPED, PUNCTUATION, PUNCTUATION_IDS, PUNCTUATION_NAMES
+# Fixed values, written out here so that a wrong one in the operators shows.
+PUNCTUATION = ("", ",", ".", "?", "!", ";", "—", ":")
+PUNCTUATION_IDS = {",": 1, ".": 2, "?": 3, "!": 2, ":": 4, "—": 5, ";": 1}
+PUNCTUATION_NAMES = {0: "", 1: ",", 2: ".", 3: "?", 4: ":", 5: "—"}
+CASE_NAMES = {0: "LOWER", 1: "UPPER", 2: "CAP"}
+DROPPED = "".join(chr(int(c, 16)) for c in "22 27 60 a8 b4 2bc 2bd 2c8 2018 201d 201f 2022 2032 2033 a78b a78c".split())
+ALPHABETS = {"lt": "a-zA-ZąčęėįšųūžĄČĘĖĮŠŲŪŽ", "any": r"\p{L}"}
 
 WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _TAG = r"(?s)^(.*?)\(=([^)]*)\)(.*)$"
@@ -183,9 +189,23 @@ def sql(length: int, size: int, vocabulary: int, cap: int) -> dict[str, str]:
     prf = "correct / nullif(predicted, 0)", "correct / nullif(expected, 0)"
     warm = "(CASE WHEN batch >= 500 THEN 1.0 ELSE 0.5 + 0.5 * batch / 500.0 END)"
     return {
-        "scan_text": "SELECT row_id, text FROM parquet_keeper WHERE text IS NOT NULL",
+        "scan_text": "SELECT text FROM parquet_keeper WHERE text IS NOT NULL",
         "count_rows": "SELECT count(*) AS n FROM parquet_keeper",
-        "text_lines": f"SELECT * FROM (SELECT doc_id, {_strip('value')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents)) WHERE line <> ''",
+        "text_lines": rf"SELECT * FROM (SELECT {_strip('value')} AS text FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS value FROM documents)) WHERE text <> ''",
+        "feature_batches": f"""{feature_rows}, sh AS (SELECT doc_id, row, ((row_number() OVER (ORDER BY doc_id, row) - 1) % 4)::INT AS shard FROM feats),
+            o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY md5('7-3-' || doc_id || '-' || row), doc_id, row) - 1 AS no FROM sh)
+            SELECT doc_id, row, shard, no // 8 AS batch_no, no % 8 AS batch_pos FROM o""",
+        "limit_read": "SELECT row_id, text, row_no FROM (SELECT row_id, text, row_number() OVER (ORDER BY row_id) - 1 AS row_no FROM parquet_keeper) WHERE row_no < 100",
+        "tag_sentences": rf"""SELECT row_id, {_strip(r"regexp_replace(replace(s, chr(10), ' '), '(\p{L}*\p{Lu}\p{L}*)', '\1(=)', 'g')")} AS sentence
+            FROM (SELECT row_id, unnest(regexp_extract_all(text, '[^.!?]*[.!?]+')) AS s FROM parquet_keeper)""",
+        "nonpad_mask": f"{feature_rows} SELECT doc_id, row, {lines('list_transform(token_ids, lambda x: (x <> 0)::INT)')} AS mask FROM feats",
+        "embedding_lookup": f"""WITH {train_arrays}, x AS (SELECT sent_id, unnest(range(len(i)))::INT AS pos, unnest(i) AS id FROM tr)
+            SELECT sent_id, pos, (id % 600)::INT AS token, round(embedding[1]::DOUBLE, 6) AS first FROM x LEFT JOIN embeddings ON vec_id = id % 600""",
+        "punctuate_text": f"""WITH w AS (SELECT doc_id, pos, lower(word) AS w FROM ({_DOC_WORDS}) WHERE word <> ''),
+            f AS (SELECT *, 4 + ('0x' || substr(md5(substr(w, 1, {size})), 1, 6))::BIGINT % {vocabulary} AS i FROM w)
+            SELECT doc_id, string_agg(CASE i % 3 WHEN 2 THEN {_title('w')} WHEN 1 THEN upper(replace(w, 'ß', 'ss')) ELSE w END || [',', '.', '?', ':', '—', ''][(i % 6 + 5) % 6 + 1], ' ' ORDER BY pos) AS text FROM f GROUP BY doc_id""",
+        "parameter_count": "SELECT count(embedding) AS tensors, coalesce(sum(len(embedding)), 0)::BIGINT AS parameters FROM embeddings",
+        "masked_loss": f"SELECT label, round(avg({xent('v[1:3]', '(label % 3)')}) FILTER (vec_id % 7 <> 0), 6) AS loss FROM {vec} GROUP BY label",
         "shard_sizes": "SELECT r::INT AS rank, (n // 3 + CASE WHEN r < n % 3 THEN 1 ELSE 0 END)::BIGINT AS rows FROM (SELECT unnest(range(3)) AS r, (SELECT count(*) FROM train) AS n)",
         "inspect_features": f"{feature_rows} SELECT doc_id, row, {', '.join(f'{lines(f'{a}[1:12]')} AS {a}' for a in arrays)}, len(token_ids)::INT AS length, label_len FROM feats ORDER BY doc_id, row LIMIT 20",
         "feature_slice": "SELECT * FROM (SELECT sent_id, text, row_number() OVER (ORDER BY sent_id) - 1 AS row_no FROM train) WHERE row_no BETWEEN 10 AND 29",
@@ -225,7 +245,7 @@ def sql(length: int, size: int, vocabulary: int, cap: int) -> dict[str, str]:
             SELECT sent_id, CASE WHEN dev THEN 'dev' WHEN u < 0.1 AND before < {cap} THEN 'test' ELSE 'train' END AS part FROM d""",
         "split_counts": f"SELECT split, count(*) AS lines, sum(len({_tok('text')}))::BIGINT AS words FROM (SELECT split, text FROM train UNION ALL SELECT split, text FROM dev UNION ALL SELECT split, text FROM test) WHERE text IS NOT NULL GROUP BY split",
         "shard_modulo": "SELECT sent_id, ((row_number() OVER (ORDER BY sent_id) - 1) % 6)::INT AS shard FROM train",
-        "epoch_shuffle": "SELECT sent_id, md5('7-1-' || sent_id) AS key FROM train",
+        "epoch_shuffle": "SELECT sent_id, row_number() OVER (ORDER BY md5('7-1-' || sent_id)) - 1 AS place FROM train",
         "batching": "SELECT sent_id, n // 128 AS batch_no, n % 128 AS batch_pos FROM (SELECT sent_id, row_number() OVER (ORDER BY sent_id) - 1 AS n FROM train)",
         "sort_by_length": f"SELECT sent_id, batch_no, (row_number() OVER (PARTITION BY batch_no ORDER BY l DESC, sent_id) - 1)::INT AS rank FROM (SELECT sent_id, (row_number() OVER (ORDER BY sent_id) - 1) // 128 AS batch_no, coalesce(len({_tok('text')}), 0) AS l FROM train)",
         "piece_counts": f"SELECT word, ceil(length(word) / {size}.0)::INT AS pieces FROM ({_WORDS}) WHERE word <> ''",

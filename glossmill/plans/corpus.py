@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.words import lower_line
-from ..operators import packing, sentences, splits
+from ..operators import packing, scoring, sentences, splits
 from .settings import Settings
+from .shared import cut
 
 
 def clean_sentences(docs: DataFrame, settings: Settings, id_col: str = "doc_id") -> DataFrame:
@@ -38,6 +40,21 @@ def make_features(rows: DataFrame, group: str, sent: str, settings: Settings, to
     return packing.features(packing.packed(words, group, sent, settings.length, carry, flush_tail), group, sent, settings.length)
 
 
+def punctuated(docs: DataFrame, settings: Settings, tokenizer, scorer, id_col: str = "doc_id", text: str = "text", legacy: bool = False) -> DataFrame:
+    """(id, text): free text with the casing and punctuation that a model gives it.
+
+    Words are packed without carry, the last row too, and scored in Arrow batches; labels find their words by row and
+    position. Words without tokens are left out, and a text without words has no row.
+    """
+    sents = docs.where(F.col(text).isNotNull()).select(id_col, F.lit(0).alias("sent"), F.col(text).alias("text"))
+    words = packing.tokenized(sents, id_col, "sent", "text", tokenizer)
+    rows = cut(packing.packed(words.where(F.size("ids") > 0), id_col, "sent", settings.length, carry=False, flush_tail=True), "inference-words")
+    labels = scoring.scored(packing.features(rows, id_col, "sent", settings.length), [id_col, "row"], scorer)
+    place = F.row_number().over(W.partitionBy(id_col, "row").orderBy("sent", "pos")) - 1
+    known = rows.select(id_col, "row", "pos", "word", place.alias("label_pos")).join(labels, [id_col, "row", "label_pos"])
+    return scoring.rendered_sentences(known, [id_col], legacy)
+
+
 def train_subwords(lines: DataFrame, prefix: str, settings: Settings, sentences_at_most: int = 10_000_000, text: str = "text") -> str:
     """A SentencePiece unigram model over at most `sentences_at_most` lines (those with the smallest digests), trained on the
     driver from a stream of them. Returns the path of the model file."""

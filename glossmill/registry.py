@@ -11,12 +11,12 @@ from . import oracles
 from .functions import numeric as num
 from .functions import words as wd
 from .functions.text import tokens
-from .operators import averaging, dataset, metrics, packing, scoring, sentences, splits
+from .operators import averaging, dataset, metrics, packing, scoring, sentences, splits, tagging
 from .plans import corpus
 from .plans.running import numbered
 from .plans.settings import Settings
-from .plans.shared import once, shared_dir, spread
-from .sources import files
+from .plans.shared import once, scratch, spread
+from .sources import files, writers
 from .sources.tables import table
 from .streaming import resumable
 
@@ -61,8 +61,24 @@ def _grouped(s: SparkSession, d: str) -> DataFrame:
     return sentences.group_sentences(table(s, d, "tagger_response"))
 
 
+def _sentences_of(docs: DataFrame) -> DataFrame:
+    return sentences.split_sentences(docs).select("doc_id", F.col("sent_no").alias("sent"), F.col("sentence").alias("text"))
+
+
 def _doc_sentences(s: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(_docs(s, d)).select("doc_id", F.col("sent_no").alias("sent"), F.col("sentence").alias("text"))
+    return _sentences_of(_docs(s, d))
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    """The lines of all documents, written to text files and read from them."""
+    path = scratch(s, "lines")
+    writers.write_text(table(s, d, "documents").where("text is not null"), path)
+    return files.text_lines(s, path)
+
+
+def _places(keyed: DataFrame) -> DataFrame:
+    """(sent_id, place) of rows in the order of their partitions and within them, as they would be read."""
+    return numbered(keyed.withColumnRenamed("place", "_at"), ["_at"], name="place").select("sent_id", "place")
 
 
 def _pack(s: SparkSession, d: str, carry: bool, flush: bool, lower: bool, drop: bool) -> DataFrame:
@@ -75,8 +91,19 @@ def _pack(s: SparkSession, d: str, carry: bool, flush: bool, lower: bool, drop:
     )
 
 
+def _features_of(docs: DataFrame) -> DataFrame:
+    return corpus.make_features(_sentences_of(docs), "doc_id", "sent", Settings(length=LENGTH), CHUNK)
+
+
 def _features(s: SparkSession, d: str) -> DataFrame:
-    return corpus.make_features(_doc_sentences(s, d), "doc_id", "sent", Settings(length=LENGTH), CHUNK)
+    return _features_of(_docs(s, d))
+
+
+def _feature_batches(s: SparkSession, d: str) -> DataFrame:
+    """Written features as the four workers of two ranks read them in epoch 3."""
+    path = scratch(s, "features")
+    _features(s, d).write.parquet(path)
+    return dataset.epoch_batches(s.read.parquet(path), ["doc_id", "row"], 2, 2, 8, 7, 3).select("doc_id", "row", "shard", "batch_no", "batch_pos")
 
 
 def _sentence_arrays(s: SparkSession, d: str) -> DataFrame:
@@ -122,9 +149,7 @@ def _schedule(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    base = scratch(s, "stream")
     return resumable.clean_new(s, f"{d}/train*.parquet", f"{base}/out", f"{base}/state", _train(s, d).schema.simpleString()[7:-1].replace(":", " "), "any").select("sent_id", "text")
 
 
@@ -148,11 +173,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     counts = lambda s, d: metrics.label_counts(table(s, d, "prediction_pair"))
     return {
         # scans
-        "scan_text": lambda s, d: table(s, d, "parquet_keeper").select("row_id", "text").where("text is not null"),
-        "count_rows": lambda s, d: table(s, d, "parquet_keeper").agg(F.count("*").alias("n")),
-        "text_lines": lambda s, d: _docs(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("value")).select("doc_id", files.squeeze_ends("value").alias("line")).where("line <> ''"),
+        "scan_text": lambda s, d: files.text_rows(s, f"{d}/parquet_keeper.parquet"),
+        "count_rows": lambda s, d: s.createDataFrame([(files.row_count(s, f"{d}/parquet_keeper.parquet"),)], "n long"),
+        "text_lines": _lines,
         "shard_sizes": lambda s, d: dataset.shard_sizes(_train(s, d), 3),
-        "inspect_features": lambda s, d: dataset.inspected(_features(s, d), ["doc_id", "row"], 20),
+        "inspect_features": lambda s, d: dataset.inspected(dataset.first_features(table(s, d, "documents"), "doc_id", 20, _features_of), ["doc_id", "row"], 20),
+        "feature_batches": _feature_batches,
+        "limit_read": lambda s, d: numbered(table(s, d, "parquet_keeper").select("row_id", "text"), ["row_id"]).where("row_no < 100"),
         "feature_slice": lambda s, d: numbered(_train(s, d).select("sent_id", "text"), ["sent_id"]).where("row_no between 10 and 29"),
         "limit_rows": lambda s, d: files.exported(_train(s, d), limit=50, key="sent_id"),
         # words
@@ -175,6 +202,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "allowed_symbols": lambda s, d: _words(s, d).select("word", wd.allowed_symbols("word").alias("lt"), wd.allowed_symbols("word", "any").alias("any_letters")),
         "allowed_punct": lambda s, d: _tokens(s, d).select(wd.split_word("token").alias("s")).select("s.*").distinct().select("word", "punct", wd.allowed_punctuation("word", "punct").alias("allowed")),
         # tagger responses
+        "tag_sentences": lambda s, d: sentences.group_sentences(tagging.tagged(spread(table(s, d, "parquet_keeper")), tagging.LocalTagger()).withColumn("received_at", F.lit(None).cast("timestamp"))).select("row_id", "sentence"),
         "annotate_tokens": lambda s, d: table(s, d, "tagger_response").where("tokens is not null").select("row_id", "chunk_no", F.array_join(F.transform("tokens", sentences.annotated), "").alias("line")),
         "group_sentences": lambda s, d: _grouped(s, d).select("row_id", "chunk_no", "sent_no", "sentence"),
         "fix_case": lambda s, d: sentences.repair_case(_grouped(s, d)).select("row_id", "chunk_no", "sent_no", "fixed"),
@@ -192,7 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_capped": lambda s, d: splits.split_capped(_train(s, d), "sent_id", CAP).select("sent_id", "part"),
         "split_counts": lambda s, d: splits.split_counts(_split_tables(s, d), "split"),
         "shard_modulo": lambda s, d: dataset.sharded(_train(s, d).select("sent_id"), ["sent_id"], 3, 2),
-        "epoch_shuffle": lambda s, d: dataset.shuffled(_train(s, d).select("sent_id"), "sent_id", 7, 1).select("sent_id", dataset.epoch_key("sent_id", 7, 1).alias("key")),
+        "epoch_shuffle": lambda s, d: dataset.shuffled(_train(s, d).select("sent_id"), "sent_id", 7, 1).select("sent_id", F.monotonically_increasing_id().alias("place")).transform(_places),
         "batching": lambda s, d: dataset.batched(_train(s, d).select("sent_id"), ["sent_id"], 128),
         "sort_by_length": lambda s, d: dataset.by_length(_train(s, d).select("sent_id", "text"), ["sent_id"], 128, F.coalesce(F.size(tokens("text")), F.lit(0))).select("sent_id", "batch_no", "rank"),
         # packing
@@ -205,8 +233,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "features": lambda s, d: _features(s, d).select("doc_id", "row", *[_text(c(a)).alias(a) for a in ("token_ids", "case_labels", "punct_labels", "valid_ids", "token_masks", "label_masks")], "label_len"),
         "pad_features": lambda s, d: _sentence_arrays(s, d).where(F.size("ids") < LENGTH - packing.MARGIN).select("sent_id", *[x if i == 6 else _text(x).alias(n) for i, (x, n) in enumerate(zip(packing.padded(c("ids"), c("valid"), c("cases"), c("puncts"), LENGTH), ("token_ids", "case_labels", "punct_labels", "valid_ids", "token_masks", "label_masks", "label_len")))]),
         "active_mask": lambda s, d: _sentence_arrays(s, d).select("sent_id", _text(packing.active_positions(F.concat(F.array(F.lit(1)), "valid", F.array(F.lit(1))))).alias("active")),
+        "nonpad_mask": lambda s, d: _features(s, d).select("doc_id", "row", _text(packing.nonpad_mask(c("token_ids"))).alias("mask")),
+        "embedding_lookup": lambda s, d: packing.embedded(_sentence_arrays(s, d).select("sent_id", F.posexplode("ids").alias("pos", "id")).select("sent_id", "pos", (c("id") % 600).alias("token")), table(s, d, "embeddings"), "token", "vec_id", "embedding").select("sent_id", "pos", "token", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first")),
         "compact_valid": lambda s, d: _sentence_arrays(s, d).select("sent_id", _text(packing.compacted(c("ids"), c("valid"))).alias("compacted")),
         "score_features": _scored,
+        "punctuate_text": lambda s, d: corpus.punctuated(_docs(s, d), Settings(length=LENGTH), CHUNK, scoring.HashScorer()),
         "render_sentence": lambda s, d: scoring.rendered_sentences(_train(s, d).select("sent_id", F.posexplode(wd.labelled("text")).alias("pos", "w")).select("sent_id", "pos", "w.*"), ["sent_id"]),
         # statistics and evaluation
         "corpus_totals": lambda s, d: metrics.corpus_totals(_docs(s, d)),
@@ -219,12 +250,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "progress_totals": lambda s, d: resumable.progress(table(s, d, "run_state")),
         # training figures and arithmetic
         "vector_mean": lambda s, d: averaging.vector_mean(table(s, d, "embeddings"), "label", "embedding").withColumn("value", F.round("value", 6)),
+        "parameter_count": lambda s, d: averaging.parameter_count(table(s, d, "embeddings"), "embedding"),
         "ema": lambda s, d: averaging.ema(table(s, d, "events"), "user_id", ["ts", "event_id"], c("value"), 1 / 20).withColumn("ema", F.round("ema", 6)),
         "best_so_far": lambda s, d: averaging.best_so_far(table(s, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value"), 6).alias("loss")), "event_type", "day", "loss"),
         "argmax": lambda s, d: _vectors(s, d).select("vec_id", num.argmax("v").alias("idx")),
         "softmax": lambda s, d: _elements(_vectors(s, d), num.softmax("v")),
         "layer_norm": lambda s, d: _elements(_vectors(s, d), num.layer_norm("v")),
         "cross_entropy": _losses,
+        "masked_loss": lambda s, d: _vectors(s, d).groupBy("label").agg(F.round(num.masked_mean(num.cross_entropy(F.slice("v", 1, 3), c("label").cast("int") % 3), F.when(c("vec_id") % 7 == 0, 0).otherwise(1)), 6).alias("loss")),
         "neighbor_pair": _neighbors,
         "eden_schedule": _schedule,
     }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, squeeze
 
-#: Lines of one example in the older text format of features.
+# Lines of one example in the older text format of features.
 FIELDS = ("token_ids", "case_labels", "punct_labels", "valid_ids", "token_masks", "label_masks", "label_len")
 
 
@@ -28,13 +28,15 @@ def text_rows(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
 
 def row_count(spark: SparkSession, path: str) -> int:
     """All rows, nulls included. Only file footers are read, as the count is pushed down to the second-version source."""
-    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-    before = spark.conf.get("spark.sql.sources.useV1SourceList")
-    spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in before.split(",") if s != "parquet"))
+    push, first = "spark.sql.parquet.aggregatePushdown", "spark.sql.sources.useV1SourceList"
+    before = {k: spark.conf.get(k) for k in (push, first)}
+    spark.conf.set(push, "true")
+    spark.conf.set(first, ",".join(s for s in before[first].split(",") if s != "parquet"))
     try:
         return spark.read.parquet(path).agg(F.count("*")).first()[0]
     finally:
-        spark.conf.set("spark.sql.sources.useV1SourceList", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 ARRAYS = ("token_ids", "case_labels", "punct_labels", "valid_ids", "token_masks", "label_masks")
 
 
-def write_shards(rows: DataFrame, path: str, field: str = "text", rows_per_file: int = 1_000_000, append: bool = False) -> None:
-    """Text shards in Parquet with zstd. A new file begins every `rows_per_file` rows of a task; `append` goes on after the
-    shards that are there. Files appear when the job commits, so a failed run leaves none behind."""
+def rows_in(rows: DataFrame, size: int, field: str = "text", ratio: float = 0.4) -> int:
+    """How many rows a file of `size` bytes holds, by the mean length of all texts and the ratio of their compression."""
+    mean = rows.agg(F.avg(F.octet_length(field))).first()[0]
+    return max(1, int(size / (ratio * mean))) if mean else 1_000_000
+
+
+def write_shards(rows: DataFrame, path: str, field: str = "text", rows_per_file: int | None = None, append: bool = False, size: int = 512 * 1024 * 1024) -> None:
+    """Text shards in Parquet with zstd. A new file begins every `rows_per_file` rows of a task, by default as many as make
+    about `size` bytes (`rows_in`); `append` goes on after the shards that are there. Files appear when the job commits, so
+    a failed run leaves none behind."""
+    rows_per_file = rows_per_file or rows_in(rows, size, field)
     out = rows.select(field).write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
     out.mode("append" if append else "errorifexists").parquet(path)
 

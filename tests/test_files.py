@@ -58,12 +58,80 @@ def test_features_round_trip(spark, tmp_path):
 def test_settings():
     s = settings.Settings(length=50)
     assert settings.Settings.from_json(s.to_json()) == s
-    assert settings.flag("Yes") and not settings.flag("0")
-    with pytest.raises(ValueError):
-        settings.flag("maybe")
-    assert settings.urls([" a, b", "c,"]) == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        settings.urls([" , "])
+    assert settings.truth("Yes") and not settings.truth(" 0")
+    assert settings.addresses(" a, b", "c,") == ["a", "b", "c"]
+    for bad in (lambda: settings.truth("maybe"), lambda: settings.addresses(" , ")):
+        with pytest.raises(ValueError):
+            bad()
+    got = settings.Settings.from_options(length="9", share="0.5", carry="n", alphabet="any", taggers="http://a,http://b")
+    assert got == settings.Settings(length=9, share=0.5, carry=False, alphabet="any", taggers=["http://a", "http://b"])
+    with pytest.raises(KeyError):
+        settings.Settings.from_options(lenght="9")
+
+
+def test_shards_by_size(spark, tmp_path):
+    rows = texts(spark, *["x" * 1000] * 100).coalesce(1)
+    assert writers.rows_in(rows, 4000) == 10 and writers.rows_in(texts(spark, None), 10) == 1_000_000
+    writers.write_shards(rows, str(tmp_path / "s"), size=10_000)
+    assert len(list((tmp_path / "s").glob("*.parquet"))) == 4
+
+
+def test_counting_rows_leaves_the_session_as_it_was(spark, tmp_path):
+    texts(spark, "a").write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.parquet.aggregatePushdown")
+    assert files.row_count(spark, str(tmp_path / "t")) == 1 and spark.conf.get("spark.sql.parquet.aggregatePushdown") == before
+
+
+def test_intermediate_tables(spark, monkeypatch):
+    from glossmill.plans import shared
+
+    made = shared.cut(texts(spark, "a", "b"), "x")
+    assert made.count() == 2 and shared._written
+    shared.clear()
+    assert not shared._written
+    with pytest.raises(Exception):
+        spark.read.parquet(made.inputFiles()[0]).count()
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda k, d=None: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(lambda: Cluster.conf)
+
+    with pytest.raises(ValueError, match="executors share"):
+        shared.shared_dir(Cluster)
+
+
+def test_metrics_of_a_run(spark, tmp_path):
+    from glossmill.operators import metrics
+
+    rows, seen = metrics.observed(texts(spark, "a", None, "c"), rows=F.count(F.lit(1)), texts=F.count("text"))
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 3, "texts": 2}
+    frame = spark.createDataFrame([("f1", 0.5)], "name string, value double")
+    for run in ("one", "two"):
+        metrics.write_metrics(frame, str(tmp_path / "m"), run)
+    assert sorted(r["run"] for r in spark.read.json(str(tmp_path / "m")).collect()) == ["one", "two"]
+
+
+def test_averaged_checkpoints(spark, tmp_path):
+    from glossmill.operators import averaging
+
+    def save(name, rows):
+        spark.createDataFrame(rows, "name string, values array<double>, shares string").write.parquet(str(tmp_path / name))
+        return str(tmp_path / name)
+
+    a = save("a", [("w", [1.0, 2.0], None), ("tied", [1.0, 2.0], "w")])
+    b = save("b", [("w", [3.0, 6.0], None)])
+    c = save("c", [("v", [3.0], None)])
+    assert sorted(tuple(r) for r in averaging.averaged(spark, [a, b]).collect()) == [("w", 0, 2.0), ("w", 1, 4.0)]
+    with pytest.raises(FileNotFoundError):
+        averaging.averaged(spark, [a, str(tmp_path / "none")])
+    with pytest.raises(ValueError, match="not in every"):
+        averaging.averaged(spark, [a, c])
+    assert tuple(averaging.parameter_count(spark.read.parquet(a)).first()) == (2, 4)
 
 
 def test_stream_resumes(spark, tmp_path):
