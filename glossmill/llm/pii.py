@@ -143,24 +143,6 @@ def viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray
     return out
 
 
-def may_be_inside(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The columns of what `scores` gives that need a search; the others are certainly outside throughout.
-
-    Adding m[j], the best transition to tag j, to the scores of j and taking it off all transitions to j changes no path's
-    value, but for the first character. With that, no transition is worth anything, and d is what outside to outside lacks.
-    A stretch of other tags then gains at most the sum of (best other score - outside's score + d) over its characters,
-    and d. If that is negative by d at every character, every such stretch loses, so outside is the result of the search.
-    """
-    m = trans.max(0)
-    d = float(m[0] - trans[0, 0])
-    worth = e[:, 1] + m[1]
-    for k in range(2, TAGS):
-        np.maximum(worth, e[:, k] + m[k], worth)
-    worth -= e[:, 0] + m[0]
-    worth[0] += max(0.0, float(m[0])) + max(0.0, float(-m[1:].min()))  # the first character has no transition before it
-    return np.flatnonzero(((worth > -2 * d) & (np.arange(len(e))[:, None] < lengths)).any(0))
-
-
 def _windows(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """(start, inner start, inner end, end) of every window of every text, by length."""
     n = -(-sizes // INNER)
@@ -177,34 +159,15 @@ def _tags(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     m = weights()
     out = np.zeros(len(codes), np.int8)
     s, a, z, e = _windows(starts, sizes)
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # windows to search and their scores
-
-    def search() -> None:
-        own = np.concatenate([w for w, _ in held])
-        lengths = e[own] - s[own]
-        block, k = np.zeros((int(lengths[-1]), TAGS, len(own)), np.float32), 0
-        for w, part in held:
-            block[: len(part), :, k : k + len(w)] = part
-            k += len(w)
-        best = viterbi(block, m["trans"], lengths)
-        for k, w in enumerate(own):
-            out[a[w] : z[w]] = best[a[w] - s[w] : z[w] - s[w], k]
-        held.clear()
-
     for i in range(0, len(s), BATCH):
         own = np.arange(i, min(i + BATCH, len(s)))
         lengths = e[own] - s[own]
         x = np.zeros((len(own), int(lengths[-1])), codes.dtype)
         for k, w in enumerate(own):
             x[k, : lengths[k]] = codes[s[w] : e[w]]
-        y = scores(np.ascontiguousarray(x.T), lengths)
-        open_ = may_be_inside(y, m["trans"], lengths)
-        if len(open_):
-            held.append((own[open_], np.take(y, open_, 2)))
-        if sum(len(w) for w, _ in held) > 2 * BATCH:
-            search()
-    if held:
-        search()
+        best = viterbi(scores(np.ascontiguousarray(x.T), lengths), m["trans"], lengths)
+        for k, w in enumerate(own):
+            out[a[w] : z[w]] = best[a[w] - s[w] : z[w] - s[w], k]
     # seams where an inner tag follows another kind: those documents are decoded as one sequence
     inner = np.flatnonzero((out > 0) & (out % 2 == 0))
     left = out[inner - 1]

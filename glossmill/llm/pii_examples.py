@@ -122,9 +122,13 @@ Yesterday Today Tomorrow However Therefore Although Nothing Everyone Somebody Pl
 Rytoj Kodėl Taip Tačiau Gerai Labas Miestas Mokykla Lietuva Europa Knyga Namas Heute Gestern Danke Haus Schule Zeit Wczoraj
 Dzisiaj Dzień Szkoła Bonjour Maison Merci Demain Hola Gracias Casa Mañana Вчера Сегодня Завтра Спасибо Школа""".split()
 # Sentences with slots: N name, P phone, E mail, I identity number, A address; F firm, T town, D number that is no personal
-# data, W capitalised word. `a|b` stands for either.
+# data, W capitalised word, U web address or file, H user handle. `a|b` stands for either.
 CARRIERS = """
 Mr|Mrs|Ms|Dr|Dr.|Prof. {N} left early.
+See|Visit|Read|Open {U} for more, version {D}.
+User {H} wrote to {N}: see {U}
+Žr. {U} arba rašykite {E}. Naudotojas {H} atsakė {N}.
+Siehe {U}. {W} hat {H} gefragt.
 {N} left early|arrived late|smiled|said nothing|went home|called yesterday|won the race|was born in {T}.
 {N}, {N} and {N} signed the letter.
 Yesterday {N} told {N} about {F}.
@@ -321,8 +325,15 @@ def _firm(rng: random.Random) -> str:
     return f"UAB {rng.choice(['„', ''])}{base}" if end == "UAB" else f"{base} {end}"
 
 
+def _web(rng: random.Random) -> str:
+    word = lambda: re.sub(r"[^a-z]", "", _stem(rng).lower()) or "page"
+    host = rng.choice(["www.", "", "en.", "docs."]) + word() + word() + rng.choice(_DOMAIN_ENDS)
+    path = "/".join(word() for _ in range(rng.randrange(0, 4)))
+    return rng.choice(["https://", "http://", "https://", "", "ftp://"]) + host + rng.choice(["", "/", "/" + path, f"/{path}.html", f"/{path}?id={rng.randrange(1, 9999)}", f"/~{word()}/{path}"]) if rng.random() < 0.8 else rng.choice([f"{word()}.{rng.choice(['py', 'txt', 'pdf', 'json'])}", f"/home/{word()}/{path}", f"C:\\\\{word()}\\\\{word()}.exe"])
+
+
 _SLOTS = {"N": ("name", name), "P": ("phone", phone), "E": ("email", email), "I": ("id_number", identity), "A": ("address", address)}
-_OTHER = {"F": _firm, "T": lambda r: r.choice(TOWNS) if r.random() < 0.7 else _stem(r).capitalize(), "D": _figure, "W": lambda r: r.choice(PLAIN)}
+_OTHER = {"F": _firm, "T": lambda r: r.choice(TOWNS) if r.random() < 0.7 else _stem(r).capitalize(), "D": _figure, "W": lambda r: r.choice(PLAIN), "U": _web, "H": lambda r: "@" + re.sub(r"[^a-z]", "", _stem(r).lower()) + r.choice(["", "_x", "99", ".lt"])}
 
 
 def sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:

@@ -46,6 +46,17 @@ def test_hot_and_long_groups(spark):
         assert {tuple(r) for r in format_dups.found(keeper(spark, *rows), bucket_rows=limit).collect()} == want
 
 
+def test_long_names_and_long_common_beginnings(spark):
+    long = "Labai ilgas lauko pavadinimas be jokios ribos ir be galo"
+    rows = [f"{long}: taip; Metai: 1999", f"metai = 1999 | {long.upper()} = TAIP"]
+    deep = ["x" * 500 + f" {i % 40}" for i in range(120)]
+    want = {(0, 1)} | {(2 + i % 40, 2 + i) for i in range(40, 120)}
+    assert {tuple(r) for r in format_dups.found(keeper(spark, *rows, *deep), bucket_rows=5).collect()} == want
+    entries = keeper(spark, *deep).selectExpr("encode(text, 'utf-8') key", "1L copies", "row_id entry")
+    sizes = format_dups.radix_buckets(entries, 5).groupBy("bucket").agg({"key": "count"}).collect()
+    assert max(r[1] for r in sizes) <= 5
+
+
 def test_trie_counts():
     rng = random.Random(1)
     keys = [bytes(rng.choices(b"ab", k=rng.randrange(0, 40))) for _ in range(5000)]
@@ -89,9 +100,7 @@ def sides(spark, train, evals):
     return df(train, "train"), df(evals, "test")
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
-def test_all_near_pairs(spark, monkeypatch, hot):
-    monkeypatch.setattr(overlap, "HOT", hot)
+def test_all_near_pairs(spark):
     rng = random.Random(4)
     vocabulary = [f"žodis{i}" for i in range(40)]
 
@@ -117,10 +126,61 @@ def test_all_near_pairs(spark, monkeypatch, hot):
     t, e = ([(i, norm(x)) for i, x in rows if len(norm(x)) >= 6] for rows in (train, evals))
     want = {(i, j) for i, a in t for j, b in e if len(a) < 1000 and len(b) < 1000 and distance(a, b) <= max(len(a), len(b)) // 8} | {(1003, 6001)}
     assert len(got) == len(set(got)) and set(got) == want
+    links = {r["sent_id"]: r for r in overlap.linked(*sides(spark, train, evals)).collect()}
+    assert {i: r["links"] for i, r in links.items()} == Counter(x for pair in want for x in pair)
+    words = dict(t) | dict(e)
+    for i, r in links.items():
+        same = [x for x, w in words.items() if (x < 5000) == (i < 5000) and w == words[i]]
+        assert r["class_id"] == min(same)
     rows = overlap.report(*sides(spark, train, evals)).collect()
     assert [(r["rows_all"], r["rows_overlapping"], r["partners"]) for r in rows] == [(len(evals), len({b for _, b in want}), len(want))]
 
 
+def test_short_texts_and_all_edits(spark):
+    rng = random.Random(6)
+    train = [(i, " ".join(rng.choice("abc") * 2 for _ in range(rng.randrange(6, 11)))) for i in range(250)]
+    evals = [(5000 + i, " ".join(rng.choice("abc") * 2 for _ in range(rng.randrange(6, 11)))) for i in range(60)]
+    want = {(i, j) for i, a in train for j, b in evals if distance(a.split(), b.split()) <= max(len(a.split()), len(b.split())) // 8}
+    assert want and {tuple(r) for r in overlap.found(*sides(spark, train, evals)).collect()} == want
+
+
+def test_windows_with_the_fewest_neighbours():
+    import itertools
+
+    rng = random.Random(7)
+    for _ in range(200):
+        n = rng.randrange(9, 33)
+        wanted = n // 7 + 1
+        cost = {a: rng.randrange(1, 9) for a in rng.sample(range(n - 3), rng.randrange(0, n - 3))}
+        best = min(sum(cost.get(a, 0) for a in c) for c in itertools.combinations(range(n - 3), wanted) if all(y - x >= 4 for x, y in zip(c, c[1:]))) if wanted < 4 else None
+        got = overlap.cheapest(n, cost)
+        assert len(got) <= wanted and all(y - x >= 4 for x, y in zip(got, got[1:])) and all(cost[a] for a in got)
+        if best is not None:
+            assert sum(cost[a] for a in got) == best
+
+
+def test_coverage_rejects(spark):
+    words = [f"w{i}" for i in range(24)]
+    other = words[:4] + [f"x{i}" for i in range(20)]
+    assert overlap.near(words, words[:10] + ["y"] + words[11:]) and not overlap.near(words, other)
+    import numpy as np
+
+    number = {w: i for i, w in enumerate({*words, *other})}
+    ids = lambda v: np.array([number[w] for w in v])
+    assert overlap.coverage(ids(words), ids(other), 3) == 4 and overlap.coverage(ids(words), ids(words), 3) == 24
+
+
+def test_a_beginning_that_all_share_makes_no_candidates(spark):
+    """A stock beginning of four words in every text: only texts that share more are compared."""
+    stock = ["mes", "pranešame", "jums", "kad"]
+    train = [(i, " ".join(stock + [f"t{i}x{k}" for k in range(8)])) for i in range(300)]
+    evals = [(5000 + i, " ".join(stock + [f"e{i}x{k}" for k in range(8)])) for i in range(100)] + [(6000, train[7][1] + " dar")]
+    t, e = sides(spark, train, evals)
+    records = overlap._records(overlap._rows(t, e))
+    assert overlap._near_windows(records).distinct().count() <= 3
+    assert [tuple(r) for r in overlap.found(t, e).collect()] == [(7, 6000)]
+
+
 def test_no_rows_no_pairs(spark):
     t, e = sides(spark, [(1, "vienas du trys keturi penki šeši")], [(2, "vienas du trys keturi penki šeši")])
     assert [tuple(r) for r in overlap.found(t, e).collect()] == [(1, 2)]
@@ -198,6 +258,22 @@ def test_knapsack_is_exact():
         assert sum(s * n for s, n in took.items()) == max(a for a in reach if a <= budget)
 
 
+def test_budgets_are_met_where_lengths_allow():
+    counts = {70_001: 5, 90_001: 7, 120_007: 3, 200_003: 4}
+    took = mixing.fit(counts, 500_000)
+    assert 500_000 - sum(s * n for s, n in took.items()) == 9_983
+    rng = random.Random(3)
+    for _ in range(60):
+        counts = {rng.randrange(1, 40): rng.randrange(1, 5) for _ in range(rng.randrange(1, 7))}
+        total = sum(s * n for s, n in counts.items())
+        budget = rng.randrange(0, total)
+        reach = {0}
+        for s, n in counts.items():
+            reach = {a + k * s for a in reach for k in range(n + 1)}
+        took = mixing.fit(counts, budget)
+        assert all(0 < n <= counts[s] for s, n in took.items()) and sum(s * n for s, n in took.items()) == max(a for a in reach if a <= budget)
+
+
 @needs_tokens
 def test_shares(spark):
     rng = random.Random(3)
