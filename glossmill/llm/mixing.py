@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import broadcast_if_small
-from .tokens import ranked, sized
+from .tokens import planned, ranked, sized
 
 #: Tokens that the dynamic program may be wide: 4 bytes each on the driver.
 WIDTH = 1 << 25
@@ -106,11 +106,11 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     spark = docs.sparkSession
     sizes = sized(docs)
     plan, largest = _plan(sizes, targets)
-    base = spark.createDataFrame([(s, p) for s, (_, _, p, _) in plan.items()], "source string, passes long")
-    more = spark.createDataFrame([(s, a, n) for s, (*_, e) in plan.items() for a, n in e.items()], "source string, tokens long, extra long")
-    rows = sizes.where("tokens > 0").join(broadcast_if_small(base), "source").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    base = planned(spark, [(s, p) for s, (_, _, p, _) in plan.items()], "source string, passes long", "mix-passes")
+    more = planned(spark, [(s, a, n) for s, (*_, e) in plan.items() for a, n in e.items()], "source string, tokens long, extra long", "mix-extra")
+    rows = sizes.where("tokens > 0").join(base, "source").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
     ranks = ranked(rows, ["source", "tokens"], ["_h", "doc_id"], largest)
-    joined = ranks.join(broadcast_if_small(more), ["source", "tokens"], "left")
+    joined = ranks.join(more, ["source", "tokens"], "left")
     copies = F.col("passes") + (F.col("rank") < F.coalesce("extra", F.lit(0))).cast("long")
     return joined.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
 

@@ -13,8 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import broadcast_if_small
-from .tokens import ranked, sized
+from .tokens import planned, ranked, sized
 
 
 def plan(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -118,9 +117,9 @@ def assigned(docs: DataFrame, packs: DataFrame) -> DataFrame:
     for r in counts:
         by[r["pack_name"]][r["size"]] = r["count"]
     rows = [(name, *step) for name, sizes in by.items() for step in plan(sizes, capacity[name])]
-    steps = spark.createDataFrame(rows, "pack_name string, size long, from_rank long, end_rank long, first long, each long")
+    steps = planned(spark, rows, "pack_name string, size long, from_rank long, end_rank long, first long, each long", "pack-steps")
     ranks = ranked(items, ["pack_name", "size"], ["doc_id", "part_no"], max((r["count"] for r in counts), default=0))
-    joined = ranks.join(broadcast_if_small(steps), ["pack_name", "size"]).where("rank >= from_rank and rank < end_rank")
+    joined = ranks.join(steps, ["pack_name", "size"]).where("rank >= from_rank and rank < end_rank")
     container = F.col("first") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("each"))
     return joined.select("pack_name", container.cast("long").alias("container_id"), "doc_id", "part_no", "start_token", "size")
 

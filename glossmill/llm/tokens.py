@@ -6,12 +6,12 @@ import base64
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..plans.shared import cut
+from ..plans.shared import broadcast_if_small, cut
 
 #: Where the vocabulary files lie on every executor, and the one that is used.
 FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,11 @@ def sized(docs: DataFrame, path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
     return cut(docs.select("doc_id", "source", token_count(F.col("text"), path).alias("tokens")), "sizes")
 
 
+def planned(spark: SparkSession, rows: list[tuple], schema: str, name: str) -> DataFrame:
+    """A plan made on the driver as a written table: its size is known then, so it is broadcast only if it is small."""
+    return broadcast_if_small(cut(spark.createDataFrame(rows, schema).coalesce(1), name))
+
+
 def ranked(items: DataFrame, keys: list[str], order: list[str], largest: int) -> DataFrame:
     """`items` with `rank`, counting from 0 within `keys`.
 
