@@ -51,17 +51,31 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     return dict(chosen)
 
 
+def _even(counts: dict[int, int], budget: int, total: int) -> dict[int, int]:
+    """A like share of every length, rounded so that the error doesn't add up over lengths, and at most `budget` tokens."""
+    out, passed = {}, 0
+    for s in sorted(counts):
+        out[s] = (passed + counts[s]) * budget // total - passed * budget // total
+        passed += counts[s]
+    over = sum(s * n for s, n in out.items()) - budget
+    while over > 0:
+        s = min((s for s, n in out.items() if n and s >= over), default=None) or max(s for s, n in out.items() if n)
+        out[s] -= 1
+        over -= s
+    return out
+
+
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take for `budget` tokens, which is less than the source has.
 
-    Each length gives a like share of its documents, and the dynamic program fills what remains. While that leaves a gap,
+    Each length gives a like share of its documents (`_even`), and the dynamic program fills what remains. While that leaves a gap,
     documents are handed back, twice as many of each length every time, until the budget is met or none is left to hand
     back (the result is then the best there is) or the program would be wider than WIDTH.
     """
     total = sum(s * n for s, n in counts.items())
     if not total or budget <= 0:
         return {}
-    even = {s: n * budget // total for s, n in counts.items()}
+    even = _even(counts, budget, total)
     best: dict[int, int] = {}
     gap, back = budget + 1, 0
     while True:
