@@ -69,7 +69,7 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take for `budget` tokens, which is less than the source has.
 
     Each length gives a like share of its documents (`_even`), and the dynamic program fills what remains. While that leaves a gap,
-    documents are handed back, twice as many of each length every time, until the budget is met or none is left to hand
+    documents are handed back, for four times as many tokens every time, until the budget is met or none is left to hand
     back (the result is then the best there is) or the program would be wider than WIDTH.
     """
     total = sum(s * n for s, n in counts.items())
@@ -77,10 +77,15 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         return {}
     even = _even(counts, budget, total)
     best: dict[int, int] = {}
-    gap, back = budget + 1, 0
+    kept, gap, goal = dict(even), budget + 1, 0
+    rest = budget - sum(s * n for s, n in kept.items())
     while True:
-        kept = {s: max(0, n - back) for s, n in even.items()}
-        rest = budget - sum(s * n for s, n in kept.items())
+        while rest < goal and any(kept.values()):  # one document of each length in turn, short ones first
+            for s in sorted(s for s, n in kept.items() if n):
+                kept[s] -= 1
+                rest += s
+                if rest >= goal:
+                    break
         if rest > WIDTH and best:
             break
         took = knapsack({s: n - kept[s] for s, n in counts.items() if n > kept[s]}, rest)
@@ -89,7 +94,7 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
             gap, best = left, {s: n + took.get(s, 0) for s, n in kept.items()}
         if not gap or not any(kept.values()):
             break
-        back = max(1, back * 2)
+        goal = max(1024, 4 * rest)
     return {s: n for s, n in best.items() if n}
 
 
