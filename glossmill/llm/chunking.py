@@ -131,6 +131,19 @@ def split_oversized(docs: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.select("row_id", F.explode(pieces(F.col("text"), F.col("_max"), F.col("_overlap"))).alias("p")).select("row_id", "p.*")
 
 
+def checked(docs: DataFrame, limits: DataFrame) -> DataFrame:
+    """(row_id, pieces_fit, overlaps_hold, is_whole): whether each text's pieces keep the limit, share what they should with the
+    piece before, and together are the text. For every text; null texts have no row."""
+    rows = with_limits(docs.select("row_id", "source", "text"), limits)
+    cut_at = pieces(F.col("text"), F.coalesce("_max", F.lit(2**31 - 1)), F.coalesce("_overlap", F.lit(0)))
+    p = rows.where("text is not null").select("row_id", "text", "_max", "_overlap", cut_at.alias("p"))
+    fit = F.forall("p", lambda x: F.char_length(x["text"]) <= F.coalesce("_max", F.lit(2**31 - 1)))
+    before = lambda i: F.get("p", i - 1)["end_at"]
+    shared = F.transform("p", lambda x, i: F.when(i == 0, x["start_at"] == 0).otherwise(x["start_at"] == F.greatest(F.lit(0), before(i) - F.least(F.col("_overlap"), F.col("_max") - 1))))
+    fresh = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substr(x["text"], before(i) - x["start_at"] + 1))), "")
+    return p.select("row_id", fit.alias("pieces_fit"), F.forall(shared, lambda x: x).alias("overlaps_hold"), (fresh == F.col("text")).alias("is_whole"))
+
+
 def found(docs: DataFrame, limits: DataFrame) -> DataFrame:
     """(row_id, cut_at) of the texts that were cut."""
     return split_oversized(docs, limits).where("piece_no = 0 and cut_at is not null").select("row_id", "cut_at")

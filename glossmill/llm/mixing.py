@@ -143,3 +143,15 @@ def report(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     return rows.join(total, F.lit(True), "left").select(
         "source", "target_share", "max_repeats", "documents", "most_copies", "tokens", F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("actual_share")
     )
+
+
+def checked(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """(source, share_met, repeats_kept): whether each source has its share of all tokens, to the length of the longest
+    document, and no document is used too often. Sources without documents have no share to meet."""
+    r = report(docs, targets, seed)
+    longest = sized(docs).agg(F.max("tokens").alias("_longest"))
+    totals = r.agg(F.sum("tokens").alias("_tokens"), F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).alias("_shares"))
+    both = r.join(F.broadcast(totals), F.lit(True), "left").join(F.broadcast(longest), F.lit(True), "left")  # one row each
+    off = F.abs(F.col("tokens") - F.col("target_share") / F.col("_shares") * F.col("_tokens"))
+    met = (F.col("tokens") == 0) | (off <= 1 + F.col("_longest"))
+    return both.select("source", met.alias("share_met"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))

@@ -13,6 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import broadcast_if_small
 from .tokens import planned, ranked, sized
 
 
@@ -124,6 +125,18 @@ def assigned(docs: DataFrame, packs: DataFrame) -> DataFrame:
     return joined.select("pack_name", container.cast("long").alias("container_id"), "doc_id", "part_no", "start_token", "size")
 
 
+def checked(docs: DataFrame, packs: DataFrame) -> DataFrame:
+    """(pack_name, none_over, is_whole, none_split): whether all containers keep the capacity, every document's tokens are
+    there once, and only documents above the capacity are split."""
+    sizes = sized(docs)
+    total = sizes.where("tokens > 0").agg(F.count("*").alias("docs"), F.sum("tokens").alias("all"))
+    got = assigned(docs, packs).join(broadcast_if_small(packs.select("pack_name", "capacity_tokens")), "pack_name")
+    over = got.groupBy("pack_name", "container_id").agg(F.sum("size").alias("n"), F.first("capacity_tokens").alias("c")).groupBy("pack_name").agg(F.max(F.col("n") - F.col("c")).alias("over"))
+    per = got.groupBy("pack_name").agg(F.sum("size").alias("n"), F.count_if(F.col("part_no") == 0).alias("first"), F.count_if((F.col("part_no") > 0) & (F.col("start_token") < F.col("capacity_tokens"))).alias("split"))
+    both = per.join(over, "pack_name").join(F.broadcast(total))  # one row
+    return both.select("pack_name", (F.col("over") <= 0).alias("none_over"), ((F.col("n") == F.col("all")) & (F.col("first") == F.col("docs"))).alias("is_whole"), (F.col("split") == 0).alias("none_split"))
+
+
 def report(docs: DataFrame, packs: DataFrame) -> DataFrame:
     """(pack_name, capacity_tokens, containers, tokens, fill): how full the containers are."""
     per = assigned(docs, packs).groupBy("pack_name", "container_id").agg(F.sum("size").alias("tokens"))

@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: chunking.found(keeper(s, d), table(s, d, "size_limits")),
         "p1_pieces": lambda s, d: chunking.split_oversized(keeper(s, d), table(s, d, "size_limits")),
+        "p1_check": lambda s, d: chunking.checked(keeper(s, d), table(s, d, "size_limits")),
         "p2_found": lambda s, d: quality.found(keeper(s, d)),
         "p2_quality": lambda s, d: quality.judged(keeper(s, d)),
         "p3_found": lambda s, d: sentences.found(keeper(s, d), table(s, d, "sentence_check")),
@@ -32,10 +33,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_links": lambda s, d: lookalike.linked(keeper(s, d)),
         "p7_pack": lambda s, d: packing.assigned(documents(s, d), table(s, d, "pack_limits")),
         "p7_report": lambda s, d: packing.report(documents(s, d), table(s, d, "pack_limits")),
+        "p7_check": lambda s, d: packing.checked(documents(s, d), table(s, d, "pack_limits")),
         "p8_mix": lambda s, d: mixing.mixed(documents(s, d), table(s, d, "mix_targets")),
         "p9_found": lambda s, d: pii.found(documents(s, d)),
         "p9_redacted": lambda s, d: pii.redacted(documents(s, d)),
         "p8_report": lambda s, d: mixing.report(documents(s, d), table(s, d, "mix_targets")),
+        "p8_check": lambda s, d: mixing.checked(documents(s, d), table(s, d, "mix_targets")),
     }
 
 
@@ -139,6 +142,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _same_fields(rf"SELECT * FROM (SELECT min(row_id) OVER (PARTITION BY k) AS keep_id, row_id FROM b WHERE {shows}) WHERE keep_id <> row_id"),
         "p4_collapsed": _same_fields(f"SELECT min(row_id) AS keep_id, count(*) AS copies FROM b WHERE {shows} GROUP BY k"),
+        # what must hold, whatever the cuts, containers and documents chosen
+        "p1_check": "SELECT row_id, true AS pieces_fit, true AS overlaps_hold, true AS is_whole FROM parquet_keeper WHERE text IS NOT NULL",
+        "p7_check": "SELECT pack_name, true AS none_over, true AS is_whole, true AS none_split FROM pack_limits",
+        "p8_check": "SELECT source, true AS share_met, true AS repeats_kept FROM mix_targets",
         "p6_found": _same_look(),
         "p6_links": _links(),
         "p6_normalized": _one_look(),
