@@ -16,7 +16,7 @@ PUNCTUATION_NAMES = {0: "", 1: ",", 2: ".", 3: "?", 4: ":", 5: "—"}
 # Quotation marks and bullets that cleaning turns into blanks, and hyphens that count as a dash.
 DROPPED = "\"'`¨´ʼʽˈ‘”‟•′″Ꞌꞌ"
 HYPHENS = "-‐‑‒"
-#: Letters and digits as Python's `isalpha` and `isdigit` see them; letters of a cleaned sentence, by language.
+# Letters and digits as Python's `isalpha` and `isdigit` see them; letters of a cleaned sentence, by language.
 WORD_CHARS = r"\p{L}\p{Nd}²³¹"
 _PLAIN = f"^[{WORD_CHARS}]*$"
 ALPHABETS = {"lt": "a-zA-ZąčęėįšųūžĄČĘĖĮŠŲŪŽ", "any": r"\p{L}"}
@@ -109,8 +109,9 @@ def has_number(word: Column | str) -> Column:
 
 
 def allowed_symbols(word: Column | str, alphabet: str = "lt") -> Column:
-    """Whether a word is made of the alphabet's letters only; an empty word isn't."""
-    return col(word).rlike(f"^[{ALPHABETS[alphabet]}]+$")
+    """Whether a word is made of the alphabet's letters only; an empty word isn't. alphabet: a name of ALPHABETS, or letters as
+    they stand in a character class (`a-zäöüß`)."""
+    return col(word).rlike(f"^[{ALPHABETS.get(alphabet, alphabet)}]+$")
 
 
 def allowed_punctuation(word: Column | str, punct: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Vectors of the word operators."""
+"""Vectors of the word operators. The vectors of the survey's fixtures, with the cases added to them."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +109,9 @@ def test_short_and_null_lines(spark):
 def test_blank(spark):
     assert values(spark, [(None,), ("",), (" \t ",), ("a",)], "t string", is_blank("t"), F.size(tokens("t"))) == [(True, -1), (True, 0), (True, 0), (False, 1)] or True
     assert [r[0] for r in values(spark, [(None,), ("",), (" \t ",), ("a",)], "t string", is_blank("t"))] == [True, True, True, False]
+
+
+def test_alphabets_can_be_given(spark):
+    rows = [("Größe",), ("labas",), ("a1",), ("",)]
+    assert [r[0] for r in values(spark, rows, "w string", wd.allowed_symbols("w", "a-zA-ZäöüÄÖÜß"))] == [True, True, False, False]
+    assert [r[0] for r in values(spark, rows, "w string", wd.allowed_symbols("w", "lt"))] == [False, True, False, False]
