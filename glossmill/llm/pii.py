@@ -1,9 +1,9 @@
 """Personal data in free text, found by a character-level bidirectional LSTM with CRF transitions.
 
-Every character of every text goes through the network, in numpy, in overlapping windows of many documents at once. Each
-window is decoded by Viterbi; a character takes its tag from the window in whose inner part it lies. Where the tags
-of two windows don't join at their seam, the document's scores are put together and decoded as one sequence. Spans are then
-put on whole words; nothing is dropped or changed by its shape.
+Every character of every text goes through the network, in overlapping windows of many documents at once: in ONNX Runtime
+(`pii_runtime`), or in numpy where that isn't installed. Each window is decoded by Viterbi; a character takes its tag from
+the window in whose inner part it lies. Where the tags of two windows don't join at their seam, the document's scores are
+put together and decoded as one sequence. Spans are then put on whole words; nothing is dropped or changed by its shape.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import pii_runtime
+
 MODEL = Path(__file__).with_name("pii_model.npz")
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tag 0 is outside; kind k has 1 + 2k for its first character and 2 + 2k for the others.
@@ -26,7 +28,7 @@ TAGS = 1 + 2 * len(KINDS)
 WINDOW, CONTEXT = 800, 40
 INNER = WINDOW - 2 * CONTEXT
 #: Characters of text in work at once, and windows that run at once.
-CHUNK, BATCH = 1_000_000, 256
+CHUNK, BATCH = 4_000_000, 256
 #: Characters by kind when they aren't in the vocabulary.
 OTHERS = ("pad", "upper", "lower", "digit", "space", "other", "caseless")
 _FIRSTS = np.array([0, *range(1, TAGS, 2)])  # tags that any tag may come before
@@ -52,6 +54,11 @@ def weights() -> dict[str, np.ndarray]:
     return m
 
 
+@lru_cache(maxsize=1)
+def _session():
+    return pii_runtime.session(weights())
+
+
 def index_of(chars: np.ndarray) -> np.ndarray:
     """The vocabulary's number of every code point."""
     index = np.full(0x110000, 5, np.int16)
@@ -103,7 +110,15 @@ def _first(n: int, lengths: np.ndarray) -> np.ndarray:
 
 def scores(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Tag scores (time, TAGS, batch) of characters (time, batch) in columns of ascending lengths, so that whole rows of the
-    batch are together."""
+    batch are together; 0 stands beyond a column's length, where scores mean nothing."""
+    if session := _session():
+        zeros = np.zeros((x.shape[1], weights()["wh_f"].shape[0]), np.float32)
+        return session.run(None, {"x": np.asarray(x, np.int64), "zeros": zeros})[0]
+    return _scores(x, lengths)
+
+
+def _scores(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same in numpy."""
     m, first = weights(), _first(len(x), lengths)
     e = np.empty((len(x), TAGS, x.shape[1]), np.float32)
     e[:] = m["out_b"][:, None]

@@ -405,6 +405,48 @@ def test_tags_do_not_depend_on_the_batch(spark, data):
     assert whole == pii.tag(texts[::-1])[::-1]
 
 
+def ragged(time, batch):
+    rng = np.random.default_rng(0)
+    lengths = np.sort(rng.integers(1, time + 1, batch))
+    lengths[-1] = time
+    x = np.where(np.arange(time)[:, None] < lengths, rng.integers(1, len(pii.weights()["embed"]), (time, batch)), 0)
+    return x, lengths
+
+
+@pytest.mark.parametrize("time,batch", [(1, 1), (90, 1), (120, 40)])
+def test_runtime_and_numpy_give_the_same_scores(time, batch):
+    pytest.importorskip("onnxruntime")
+    assert pii._session() is not None
+    x, lengths = ragged(time, batch)
+    a, b = pii.scores(x, lengths), pii._scores(x, lengths)
+    for k, n in enumerate(lengths):  # what stands beyond a column's end means nothing
+        assert np.abs(a[:n, :, k] - b[:n, :, k]).max() < 1e-3
+
+
+def test_tags_without_the_runtime(monkeypatch, data):
+    texts = pd.read_parquet(f"{data}/documents.parquet")["text"].tolist() + [CASES[0][0] * 20, "", None]
+    with_runtime = pii.tag(texts)
+    monkeypatch.setattr(pii, "_session", lambda: None)
+    assert with_runtime == pii.tag(texts) and any(with_runtime)
+
+
+def test_the_runtime_takes_less_time_than_numpy():
+    pytest.importorskip("onnxruntime")
+    import time
+
+    x, lengths = ragged(200, 256)
+
+    def cost(scorer):
+        took = []
+        for _ in range(4):
+            began = time.process_time()
+            scorer(x, lengths)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert cost(pii.scores) < 0.8 * cost(pii._scores)
+
+
 def test_viterbi_of_tags_is_the_best_path():
     import itertools
 
